@@ -99,22 +99,21 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return ways[np.lexsort((count, np.round(words, 6)))[0]].astype(np.float64)
 
 
-def _fly(land: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop(columns="__block").sort_values(["draw", "doc_id", "size"], kind="stable").reset_index(drop=True)
-        rng = np.random.default_rng([int(np.bitwise_xor.reduce(pdf["draw"].to_numpy(np.int64))) & 0x7FFFFFFF, len(pdf)])
-        p, size = pdf["chance"].to_numpy(np.float64).copy(), pdf["size"].to_numpy(np.float64)
-        open_units = np.flatnonzero((p > EPS) & (p < 1 - EPS))
-        by_size = open_units[np.argsort(-size[open_units], kind="stable")]
-        kept = np.union1d(by_size[: LANDING // 2], open_units[: LANDING // 2]) if land else open_units[:0]
-        rest = np.setdiff1d(np.arange(len(p)), kept)
-        p[rest] = flight(p[rest], np.vstack([size[rest], np.ones(len(rest))]), rng)
-        if land:
-            left = np.flatnonzero((p > 0) & (p < 1))
-            p[left] = landing(p[left], size[left])
-        return pdf.assign(chance=p)
-
-    return run
+def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Settle the units of a block; a source's only block is landed too."""
+    pdf = pdf.drop(columns="__block").sort_values(["draw", "doc_id", "size"], kind="stable").reset_index(drop=True)
+    land = pdf["blocks"].iloc[0] == 1
+    rng = np.random.default_rng([int(np.bitwise_xor.reduce(pdf["draw"].to_numpy(np.int64))) & 0x7FFFFFFF, len(pdf)])
+    p, size = pdf["chance"].to_numpy(np.float64).copy(), pdf["size"].to_numpy(np.float64)
+    open_units = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+    by_size = open_units[np.argsort(-size[open_units], kind="stable")]
+    kept = np.union1d(by_size[: LANDING // 2], open_units[: LANDING // 2]) if land else open_units[:0]
+    rest = np.setdiff1d(np.arange(len(p)), kept)
+    p[rest] = flight(p[rest], np.vstack([size[rest], np.ones(len(rest))]), rng)
+    if land:
+        left = np.flatnonzero((p > 0) & (p < 1))
+        p[left] = landing(p[left], size[left])
+    return pdf.assign(chance=p)
 
 
 def mix_sources(docs: DataFrame, weights=(1, 2, 3), cap: float = 3.0, share: float = 1.0, block: int = BLOCK) -> DataFrame:
@@ -144,7 +143,7 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), cap: float = 3.0, share: flo
         last = most == 1
         place = F.pmod(F.xxhash64("doc_id", "draw", F.lit(turn)), F.col("blocks"))
         groups = pending.withColumn("__block", place.cast("int"))
-        flown = groups.groupBy("source", "__block").applyInPandas(_fly(last), schema)
+        flown = groups.groupBy("source", "__block").applyInPandas(_fly, schema)
         if last:
             done.append(flown)
             break
