@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import byte_bpe, chat_windows
 from .common import read_table
+from .near_dedup import near_duplicates
+from .nearest import nearest
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .source_mix import mix_totals
+from .substring_dedup import substring_dedup
 from .toxicity import toxicity_scores
 
 
@@ -19,6 +23,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"), trusted)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +37,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stripped = substring_dedup(read_table(spark, sf_dir, "documents"))
+    return stripped.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -37,6 +50,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_totals(read_table(spark, sf_dir, "documents"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "<|im_end|><|im_start|>assistant ok"
@@ -44,5 +61,6 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.turn_digests(chat_windows.format_conversations(rows))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op5_toxicity, op7_quality_classifier, op8_source_mix, op10_chat_windows)}
+_ALL = (op1_quality_rules, op2_near_dedup, op3_byte_bpe, op5_toxicity, op6_substring_dedup, op7_quality_classifier, op8_source_mix, op9_nearest, op10_chat_windows)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
