@@ -1,10 +1,58 @@
-"""Corpus pipeline: quality rules, near-duplicates, personal data, mixing, tokenising."""
+"""Corpus pipeline over `documents`: quality rules, near-duplicates, personal data, mixing of sources, tokenising.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of docs. No SQL states all stages, so ORACLE_SQL is None, and the
+tests hold the stages against brute force.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from poolforge.llm.byte_bpe import round_trip_digests
+from poolforge.llm.common import discard, read_table, stored
+from poolforge.llm.near_dedup import without_near_duplicates
+from poolforge.llm.pii import sanitised
+from poolforge.llm.quality_rules import quality_rules
+from poolforge.llm.source_mix import mixed_documents
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep; trusted are those of quality 1 in `labels`."""
+    trusted = read_table(spark, sf_dir, "labels").where("quality = 1")
+    return quality_rules(docs, trusted, keep_columns=True).where("kept").select(*[f"`{c}`" for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return without_near_duplicates(docs, percent=80, shingle=5)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data masked and revealing terms generalised."""
+    return sanitised(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixed_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's tokens, as their number and digests, and the digest of the decoded bytes."""
+    import public_tokenizers
+
+    return round_trip_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=("doc_id", "source"))
+
+
+STAGES = [("quality rules", quality), ("near-duplicates", near_duplicates), ("personal data", personal_data), ("source mix", mix), ("byte-level BPE", tokens)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, before = read_table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "pipeline")
+        discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -198,13 +198,14 @@ def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
     return rows.mapInArrow(run, schema)
 
 
-def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: texts encoded, and the ids decoded again.
+def round_trip_digests(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns, n_tokens, ids_sha256 and decoded_sha256: texts encoded, and the ids decoded again.
 
     The ids stay beside the decoded bytes, so no join is needed.
     """
-    encoded = encode(docs, path, pattern)
+    encoded = encode(docs, path, pattern, keep)
     ids = F.array_join(F.col("tokens").cast("array<string>"), ",")
-    encoded = encoded.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), "tokens")
-    both = decode(encoded, path, pattern, keep=("doc_id", "n_tokens", "ids_sha256"))
-    return both.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    kept = [F.col(f"`{c}`") for c in keep]
+    encoded = encoded.select(*kept, F.size("tokens").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), "tokens")
+    both = decode(encoded, path, pattern, keep=(*keep, "n_tokens", "ids_sha256"))
+    return both.select(*kept, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

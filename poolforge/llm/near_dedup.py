@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, only, small_batches, stored
@@ -151,11 +151,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     """doc_id, n_shingles, component_id and kept (the smallest id of its component) for each row of docs.
 
     Words are split at white space, A-Z in lower case. A text with fewer words than a shingle is one shingle; one without
-    words, or null, has no shingles and no links. Rows that share an id are one vertex; rows without id are one vertex
-    after all others, with a null component_id unless linked. An empty table gives an empty result.
+    words, or null, has no shingles and no links. Rows that share an id are one vertex; rows without id are compared with
+    nothing, stay, and have a null component_id. An empty table gives an empty result.
     """
     found = stored(signatures(docs, shingle), "signatures")
-    some = found.where("n_shingles > 0")
+    some = found.where(F.col("n_shingles") > 0).where(F.col("doc") < LAST)
     classes = some.groupBy("d1", "d2").agg(F.min(F.struct("doc", "row")).alias("head"), F.min("groups").alias("groups"))
     vertices = classes.select(F.col("head.doc").alias("doc"), F.col("head.row").alias("row"), "groups")
     table = stored(buckets(vertices), "buckets")
@@ -199,7 +199,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
             break
         rest = open_rows.where("row <> head.row").select("key", "doc", "row")
     heads = classes.select("d1", "d2", F.col("head.doc").alias("rep"))
-    rows = found.join(heads, ["d1", "d2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc")))
+    rows = found.join(heads, ["d1", "d2"], "left").withColumn("rep", F.when((F.col("n_shingles") > 0) & (F.col("doc") < LAST), F.col("rep")).otherwise(F.col("doc")))
     rows = rows.join(labels, rows["rep"] == labels["node"], "left").select("doc", "n_shingles", F.coalesce("label", "rep").alias("c"))
     shown = lambda c: F.when(F.col(c) != LAST, F.col(c))
     return rows.select(shown("doc").alias("doc_id"), "n_shingles", shown("c").alias("component_id"), (F.col("doc") == F.col("c")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """docs without the rows whose group has a smaller id; all columns are kept.
+
+    Of rows that share an id one stays, the one with the smallest hash of its text. Rows without id all stay.
+    """
+    ids = near_duplicates(docs, percent, shingle).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(ids, docs["doc_id"].cast("long") == ids["__id"], "left_semi")
+    one = Window.partitionBy(F.col("doc_id").cast("long")).orderBy(F.xxhash64("text"))
+    kept = kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -11,6 +11,7 @@ from . import byte_bpe, chat_windows
 from .common import read_table
 from .near_dedup import near_duplicates
 from .nearest import nearest
+from .pii import find_spans, span_digests
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .source_mix import mix_totals
@@ -33,6 +34,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(find_spans(read_table(spark, sf_dir, "documents")))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -61,6 +66,6 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.turn_digests(chat_windows.format_conversations(rows))
 
 
-_ALL = (op1_quality_rules, op2_near_dedup, op3_byte_bpe, op5_toxicity, op6_substring_dedup, op7_quality_classifier, op8_source_mix, op9_nearest, op10_chat_windows)
+_ALL = (op1_quality_rules, op2_near_dedup, op3_byte_bpe, op4_pii, op5_toxicity, op6_substring_dedup, op7_quality_classifier, op8_source_mix, op9_nearest, op10_chat_windows)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}

@@ -160,7 +160,7 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), cap: float = 3.0, share: flo
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mix takes it; needs a doc_id that no two different rows share."""
+    """docs with each row as often as the mix takes it; rows that share an id take the largest number among them."""
     copies = mix_sources(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
     rows = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).select(docs["*"], "__copies")
     return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).drop("__copies", "__copy")
