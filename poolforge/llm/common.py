@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +40,16 @@ def stored(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> Da
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    release(spark)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Delete tables written by stored() that no later result reads."""
     for df in frames:
@@ -70,3 +80,20 @@ def words_of(text: Column) -> Column:
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra columns of the input cannot clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+class HashMemo(dict):
+    """Hashes of words, computed once; a memo with more than ``most`` entries is emptied between texts."""
+
+    def __init__(self, digest: Callable[[bytes], int], most: int = 400_000):
+        super().__init__()
+        self.digest, self.most = digest, most
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = self.digest(word)
+        return h
+
+    def array(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))

@@ -7,10 +7,10 @@ At a similarity of 0.8 a pair meets in no table with a probability of 5e-5.
 
 Documents with equal sets are one vertex, their smallest id. A bucket never gives all its pairs. First each vertex is
 compared with the smallest vertex that it meets in any bucket; connected components follow. What remains are buckets
-that hold more than one component. If all their cross pairs are few (at most ``PAIRS_PER_DOC`` for each document), these are
-compared at once; else each bucket's smallest member is compared with the others and leaves, and so on until no bucket has
-two components. So in the end any two documents that met are compared or already connected, and components equal those of
-all links. Copies of copies cost one comparison each, as they are connected after the first round.
+that hold more than one component. Vertices that such buckets tie together form a group, and every two members of a group
+from different components are compared on their full sets: a task takes two blocks of bounded size and counts common
+shingles by an inverted index, so that it returns no pairs but only the links that join two components. So any two documents
+that met are compared or already connected, and components equal those of all links.
 """
 
 from __future__ import annotations
@@ -18,15 +18,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, only, small_batches, stored
+from .common import HashMemo, only, small_batches, stored
 from .graph import components
 
 U_GROUPS, U_WIDTH, V_GROUPS, V_WIDTH = 16, 3, 10, 2
-PERCENT, SHINGLE, PAIRS_PER_DOC = 80, 2, 4
-MEMO = 400_000
+PERCENT, SHINGLE = 80, 2
+#: Documents that one task compares with as many others at a time.
+BLOCK = 2_048
 LAST = (1 << 63) - 1
 
 
@@ -36,25 +38,16 @@ class Shingler:
     def __init__(self, width: int = SHINGLE):
         import xxhash
 
-        self.width, self.memo = width, {}
-        self.word_hash, self.wide_hash = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
+        self.width, self.memo, self.wide_hash = width, HashMemo(xxhash.xxh3_64_intdigest), xxhash.xxh3_128_digest
         rng = np.random.default_rng(2)
         count = U_GROUPS * U_WIDTH + V_GROUPS * V_WIDTH
         self.factors = rng.integers(1, 1 << 63, count, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
         self.offsets = rng.integers(0, 1 << 63, count, dtype=np.uint64)[:, None]
 
     def __call__(self, text: bytes | None) -> np.ndarray:
-        memo, out = self.memo, []
-        for w in (text or b"").lower().split():
-            h = memo.get(w)
-            if h is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                h = memo[w] = self.word_hash(w)
-            out.append(h)
-        if not out:
-            return np.empty(0, np.uint64)
-        h = np.array(out, np.uint64)
+        h = self.memo.array((text or b"").lower().split())
+        if not len(h):
+            return h
         width = min(self.width, len(h))  # a shorter text is one shingle
         total = np.full(len(h) - width + 1, width, np.uint64)
         for i in range(width):
@@ -147,6 +140,62 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, shingl
     return rows.mapInArrow(run, "u long, v long")
 
 
+def _join_block(percent: int, shingle: int):
+    """Links between the components of two blocks (i, j) of a group; rows: doc, label, side (block), i, j, text."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = Shingler(shingle)
+        labels, docs = pdf["label"].to_numpy(np.int64), pdf["doc"].to_numpy(np.int64)
+        shingles = [sets(t) for t in pdf["text"]]
+        sizes = np.array([len(s) for s in shingles])
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        left, right = np.flatnonzero(pdf["side"] == i), np.flatnonzero(pdf["side"] == j)
+        flat = np.concatenate([shingles[k] for k in right]) if len(right) else np.empty(0, np.uint64)
+        owner = np.repeat(np.arange(len(right)), sizes[right])
+        order = np.argsort(flat, kind="stable")
+        keys, starts = np.unique(flat[order], return_index=True)
+        owner, ends = owner[order], np.append(starts[1:], len(flat))
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x] = root.get(root[x], root[x])
+            return x
+
+        out = []
+        for k in left if len(keys) else ():
+            at = np.searchsorted(keys, shingles[k])
+            at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == shingles[k])]
+            if not len(at):
+                continue
+            first, count = starts[at], ends[at] - starts[at]
+            spread = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            both = np.bincount(owner[spread], minlength=len(right))
+            near = np.flatnonzero((100 * both >= percent * (sizes[k] + sizes[right] - both)) & (labels[right] != labels[k]))
+            for m in right[near]:
+                a, b = top(int(labels[k])), top(int(labels[m]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((docs[k], docs[m]))
+        return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+
+    return run
+
+
+def remaining_links(open_rows: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """u and v: links that join components of documents which an open bucket ties together; open_rows: key, doc, row, label."""
+    ties = open_rows.groupBy("key").agg(F.min("doc").alias("u"))
+    groups = components(open_rows.join(ties, "key").select("u", F.col("doc").alias("v")))
+    members = open_rows.groupBy("doc", "row").agg(F.min("label").alias("label"))
+    members = members.join(groups, members["doc"] == groups["node"]).select("doc", "row", members["label"], groups["label"].alias("g"))
+    sizes = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "g").withColumn("side", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = dealt.join(texts, "row").select("g", "doc", "label", "side", "text", other.alias("o"))
+    pairs = pairs.select("g", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "doc", "label", "side", "text")
+    return pairs.groupBy("g", "i", "j").applyInPandas(_join_block(percent, shingle), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the smallest id of its component) for each row of docs.
 
@@ -170,34 +219,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     same = classes.join(some.select("d1", "d2", "doc"), ["d1", "d2"]).where(F.col("doc") != F.col("head.doc")).select(F.col("head.doc").alias("u"), F.col("doc").alias("v")).distinct()
     repeated = some.groupBy("doc").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b").select(F.col("doc").alias("v"))
     edges = stored(confirmed(pairs, texts, percent, shingle).unionByName(same.join(repeated, "v", "left_semi").select("u", "v")), "links")
-    done = stored(pairs.select("urow", "vrow"), "compared")
-    n_docs, rest = found.count(), table
-    while True:
-        labels = components(edges)
-        marked = rest.join(labels, rest["doc"] == labels["node"], "left").select("key", "doc", "row", F.coalesce("label", "doc").alias("label"))
-        mixed = marked.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "row")).alias("head")).where("a < b")
-        size = mixed.agg(F.count(F.lit(1)).alias("k"), F.sum(F.expr("cast(n as double) * (n - 1) / 2")).alias("pairs")).first()
-        if not size.k:
-            break
-        open_rows = stored(marked.join(mixed.select("key", "head"), "key"), "open_buckets")
-        few = size.pairs <= PAIRS_PER_DOC * n_docs
-        if few:
-            a = open_rows.select("key", F.col("doc").alias("u"), F.col("row").alias("urow"), F.col("label").alias("l"))
-            b = open_rows.select("key", F.col("doc").alias("v"), F.col("row").alias("vrow"), F.col("label").alias("m"))
-            pairs = a.join(b, "key").where("l <> m and struct(u, urow) < struct(v, vrow)")
-        else:
-            head = open_rows.where("row = head.row").select("key", F.col("label").alias("l"))
-            pairs = open_rows.join(head, "key").where("row <> head.row and label <> l")
-            pairs = pairs.select(F.col("head.doc").alias("u"), F.col("head.row").alias("urow"), F.col("doc").alias("v"), F.col("row").alias("vrow"))
-        pairs = stored(pairs.select("u", "urow", "v", "vrow").distinct().join(done, ["urow", "vrow"], "left_anti"), "pairs")
-        new = stored(edges.unionByName(confirmed(pairs, texts, percent, shingle)), "links")
-        compared = stored(done.unionByName(pairs.select("urow", "vrow")), "compared")
-        discard(edges, done, pairs)
-        edges, done = new, compared
-        if few:
-            labels = components(edges)
-            break
-        rest = open_rows.where("row <> head.row").select("key", "doc", "row")
+    labels = components(edges)
+    marked = table.join(labels, table["doc"] == labels["node"], "left").select("key", "doc", "row", F.coalesce("label", "doc").alias("label"))
+    mixed = marked.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+    open_rows = stored(marked.join(mixed, "key", "left_semi"), "open_buckets")
+    new = stored(remaining_links(open_rows, texts, percent, shingle), "links")
+    labels = components(edges.unionByName(new))
     heads = classes.select("d1", "d2", F.col("head.doc").alias("rep"))
     rows = found.join(heads, ["d1", "d2"], "left").withColumn("rep", F.when((F.col("n_shingles") > 0) & (F.col("doc") < LAST), F.col("rep")).otherwise(F.col("doc")))
     rows = rows.join(labels, rows["rep"] == labels["node"], "left").select("doc", "n_shingles", F.coalesce("label", "rep").alias("c"))
