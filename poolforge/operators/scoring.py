@@ -56,7 +56,7 @@ def safe_failures(rows: DataFrame) -> DataFrame:
     marked = rows.select(reasons.alias("reasons"))
     by = marked.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
     totals = marked.agg(F.count_if(F.size("reasons") > 0).alias("any"), F.count(F.lit(1)).alias("evaluated"))
-    return by.unionByName(totals.select(F.inline(F.array(F.struct(F.lit("any").alias("reason"), F.col("any").alias("n")), F.struct(F.lit("evaluated"), F.col("evaluated"))))))
+    return by.unionByName(totals.unpivot([], ["any", "evaluated"], "reason", "n"))
 
 
 def distribution(rows: DataFrame, column: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,20 @@ def _substitutions(a: Column, pattern: str) -> Column:
     return sum((F.when(F.substring(a, i + 1, 1) == c, 0).otherwise(1) for i, c in enumerate(pattern)), F.lit(0))
 
 
+def _with_substitutions(word: str, k: int) -> list[str]:
+    """Patterns of all words within k substitutions of word."""
+    return ["".join("." if i in gone else c for i, c in enumerate(word)) for gone in map(set, combinations(range(len(word)), min(k, len(word))))]
+
+
 def _three_start(seq: Column, primer: str, rate: float) -> Column:
-    """Start of the leftmost 3' primer with allowed substitutions (whole, or cut off at the read's end); -1 for none."""
+    """Start of the leftmost 3' primer with allowed substitutions (whole, or cut off at the read's end); -1 for none.
+
+    Up to two substitutions are a generated pattern, which the regular-expression engine searches in one go.
+    """
+    if int(rate * len(primer)) <= 2:
+        parts = _with_substitutions(primer, int(rate * len(primer)))
+        parts += [p + "$" for n in range(len(primer) - 1, MIN_OVERLAP - 1, -1) for p in _with_substitutions(primer[:n], int(rate * n))]
+        return F.regexp_instr(seq, F.lit("|".join(parts))) - 1
     n = F.length(seq)
 
     def here(i: Column) -> Column:
@@ -41,8 +54,8 @@ def strict_trim(reads: DataFrame, five: str | None, three: str | None, rate: flo
         out = out.where((F.length("seq") >= len(five)) & (_substitutions(seq, five) <= allowed)).withColumn("seq", F.substring(seq, F.lit(len(five) + 1), F.length(seq)))
     if three:
         exact = F.instr(seq, three) - 1
-        # An exact copy is found by a plain search; only other reads are searched place by place.
-        at = F.when(exact == 0, 0).otherwise(_three_start(seq, three, rate))
+        # An exact copy wins and is found by a plain search; only other reads are searched place by place.
+        at = F.when(exact >= 0, exact).otherwise(_three_start(seq, three, rate))
         out = out.withColumn("__at", at).where("__at >= 0").withColumn("seq", F.substring(seq, F.lit(1), F.col("__at"))).drop("__at")
     out = out.where(F.length("seq") >= shortest)
     return out.where(F.length("seq") <= longest) if longest is not None and three else out

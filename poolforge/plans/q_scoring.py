@@ -226,9 +226,9 @@ def f32(spark, sf):
     return _rows(spark, sf).select("accession", S.call_category(F.col("primer_5p"), F.col("truth_5p")).alias("category"))
 
 
-@query("a55_read_metrics", f"with {D.READS}, t as (select rec, seq, rec % 4 <> 0 as on_target, rec % 5 <> 0 as emitted, rec % 7 <> 0 as same from reads) select count(*) filter (emitted and on_target) / count(*) filter (emitted) as precision, count(*) filter (emitted and on_target) / count(*) filter (on_target) as recall, count(*) filter (emitted and on_target and same) / count(*) filter (emitted and on_target) as n_recovery from t")
+@query("a55_read_metrics", f"with {D.READS}, t as (select distinct rec, rec % 4 <> 0 as on_target, rec % 5 <> 0 as emitted, rec % 7 <> 0 as same from reads) select count(*) filter (emitted and on_target) / count(*) filter (emitted) as precision, count(*) filter (emitted and on_target) / count(*) filter (on_target) as recall, count(*) filter (emitted and on_target and same) / count(*) filter (emitted and on_target) as n_recovery from t")
 def a55(spark, sf):
-    r = D.reads(spark, sf)
+    r = D.reads(spark, sf).groupBy("rec").agg(F.min("seq").alias("seq"))
     truth = r.select(F.col("rec").alias("name"), F.col("seq").alias("insert"), (F.col("rec") % 4 != 0).alias("on_target"))
     emitted = r.where("rec % 5 <> 0").select(F.col("rec").alias("name"), F.when(F.col("rec") % 7 != 0, F.col("seq")).otherwise("x").alias("seq"))
     return S.read_metrics(truth, emitted)
