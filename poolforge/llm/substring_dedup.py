@@ -23,16 +23,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, small_batches, stored
+from .common import HashMemo, only, release, small_batches, stored
 
 WINDOW, GRAM = 13, 5
-#: Bits of the Bloom filter's address; 2 ** 25 bits are 4 MB.
-FILTER_BITS = 25
+#: Bits of the Bloom filter's address; 2 ** 27 bits are 16 MB.
+FILTER_BITS = 27
 #: Windows that a worker compares among themselves at a time.
 CHUNK = 500_000
 #: Runs that are kept before they are compacted.
 MOST_RUNS = 4
-MEMO = 400_000
 LAST = (1 << 63) - 1
 
 
@@ -42,18 +41,10 @@ class Fingerprints:
     def __init__(self):
         import xxhash
 
-        self.digest, self.memo = xxhash.xxh3_64_intdigest, {}
+        self.memo = HashMemo(xxhash.xxh3_64_intdigest)
 
     def words(self, text: bytes) -> np.ndarray:
-        memo, digest, out = self.memo, self.digest, []
-        for w in text.split():
-            h = memo.get(w)
-            if h is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                h = memo[w] = digest(w)
-            out.append(h)
-        return np.array(out, np.uint64)
+        return self.memo.array(text.split())
 
     @staticmethod
     def _mixed(h: np.ndarray) -> np.ndarray:
@@ -116,22 +107,36 @@ def shared_anchors(docs: DataFrame) -> np.ndarray:
 
 
 def window_rows(docs: DataFrame, bloom: np.ndarray | None = None) -> DataFrame:
-    """hash, check, doc and known (a repeat within its chunk) of the windows whose anchor passes the filter."""
+    """hash, check, doc and known of the windows whose anchor passes the filter.
+
+    A row with known (the hashes of a document's windows that repeat one of the chunk, 8 bytes each) needs no partner; its
+    hash only deals it to a task.
+    """
     import pyarrow as pa
 
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
+    names = ["hash", "check", "doc", "known"]
 
-    def settled(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def settled(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         h, c, d = (np.concatenate([p[i] for p in parts]) for i in range(3))
         order = np.lexsort((d, c, h))
         h, c, d = h[order], c[order], d[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        least = d[new][np.cumsum(new) - 1] if len(h) else d
+        least = d[new][np.cumsum(new) - 1]
         once = new.copy()
         once[1:] |= d[1:] != d[:-1]
-        return pa.RecordBatch.from_arrays([pa.array(h[once]), pa.array(c[once]), pa.array(d[once]), pa.array((d > least)[once])], ["hash", "check", "doc", "known"])
+        first, later = once & (d == least), once & (d > least)
+        yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(c[first]), pa.array(d[first]), pa.nulls(int(first.sum()), pa.binary())], names)
+        if later.any():
+            order = np.argsort(d[later], kind="stable")
+            rh, rd = h[later][order], d[later][order]
+            cuts = np.flatnonzero(np.r_[True, rd[1:] != rd[:-1]])
+            blobs = [x.tobytes() for x in np.split(rh, cuts[1:])]
+            ids = rd[cuts]
+            deal = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(deal), pa.array(np.zeros(len(ids), np.int32)), pa.array(ids), pa.array(blobs, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, words, parts, held = Fingerprints(), shared.value, [], 0
@@ -140,21 +145,24 @@ def window_rows(docs: DataFrame, bloom: np.ndarray | None = None) -> DataFrame:
                 h = prints.words(text)
                 if len(h) < WINDOW:
                     continue
-                w, c = prints.windows(h)
                 if words is not None:
                     place = prints.anchors(h) >> np.uint64(64 - FILTER_BITS)
                     ok = (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                    if not ok.any():
+                        continue
+                    w, c = prints.windows(h)
                     w, c = w[ok], c[ok]
-                if len(w):
-                    parts.append((w, c, np.full(len(w), doc)))
-                    held += len(w)
+                else:
+                    w, c = prints.windows(h)
+                parts.append((w, c, np.full(len(w), doc)))
+                held += len(w)
                 if held >= CHUNK:
-                    yield settled(parts)
+                    yield from settled(parts)
                     parts, held = [], 0
         if parts:
-            yield settled(parts)
+            yield from settled(parts)
 
-    return _rows(docs).mapInArrow(run, "hash long, check int, doc long, known boolean")
+    return _rows(docs).mapInArrow(run, "hash long, check int, doc long, known binary")
 
 
 class FingerprintIndex:
@@ -164,26 +172,23 @@ class FingerprintIndex:
         self.runs = list(runs or [])
 
     def judge(self, docs: DataFrame, bloom: np.ndarray | None = None) -> DataFrame:
-        """hash, check, doc and repeat of a batch's windows, merged with the history; sorted by hash in each task."""
+        """hash, check, doc, known and repeat of a batch's windows, merged with the history; sorted by hash in each task."""
         new = window_rows(docs, bloom).withColumn("old", F.lit(False))
         for run in self.runs:
-            new = new.unionByName(run.select("hash", "check", "doc", F.lit(False).alias("known"), F.lit(True).alias("old")))
-        # Rows already known to repeat need no partner: they are dealt by document, so that none crowd one task.
-        deal = F.when(F.col("known"), F.xxhash64("doc", "hash")).otherwise(F.col("hash"))
-        place = Window.partitionBy("deal", "hash", "check", "known")
-        judged = new.withColumn("deal", deal).withColumn("first", F.min("doc").over(place))
-        return judged.where(~F.col("old")).select("hash", "check", "doc", (F.col("known") | (F.col("doc") > F.col("first"))).alias("repeat"))
+            new = new.unionByName(run.select("hash", "check", "doc", F.lit(None).cast("binary").alias("known"), F.lit(True).alias("old")))
+        place = Window.partitionBy("hash", "check")
+        judged = new.withColumn("first", F.min(F.when(F.col("known").isNull(), F.col("doc"))).over(place)).where(~F.col("old"))
+        return judged.select("hash", "check", "doc", "known", (F.col("known").isNotNull() | (F.col("doc") > F.col("first"))).alias("repeat"))
 
     def add(self, docs: DataFrame, bloom: np.ndarray | None = None, keep_run: bool = True) -> DataFrame:
-        """The repeats (hash, check, doc) of a batch whose ids are above all ids before; its first places become a run."""
+        """The repeats (hash, doc, known) of a batch whose ids are above all ids before; its first places become a run."""
         judged = self.judge(docs, bloom)
-        if not keep_run:
-            return judged.where("repeat").drop("repeat")
-        judged = stored(judged, "window_run", ["repeat"])
-        self.runs.append(judged.where("not repeat").drop("repeat"))
-        if len(self.runs) > MOST_RUNS:
-            self.compact()
-        return judged.where("repeat").drop("repeat")
+        if keep_run:
+            judged = stored(judged, "window_run", ["repeat"])
+            self.runs.append(judged.where("not repeat").select("hash", "check", "doc"))
+            if len(self.runs) > MOST_RUNS:
+                self.compact()
+        return judged.where("repeat").select("hash", "doc", "known")
 
     def compact(self) -> None:
         """Merge all runs into one."""
@@ -199,25 +204,23 @@ def strip_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     small_batches(docs.sparkSession)
-    lists = repeats.groupBy("doc").agg(F.collect_list("hash").alias("hashes"), F.collect_list("check").alias("checks"))
-    rows = _rows(docs).withColumn("doc_id", F.when(F.col("doc") != LAST, F.col("doc"))).join(lists, "doc", "left").select("doc_id", "text", "hashes", "checks")
+    single = F.when(F.col("known").isNull(), F.col("hash"))
+    lists = repeats.groupBy("doc").agg(F.collect_list(single).alias("hashes"), F.collect_list("known").alias("known"))
+    rows = _rows(docs).withColumn("doc_id", F.when(F.col("doc") != LAST, F.col("doc"))).join(lists, "doc", "left").select("doc_id", "text", "hashes", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = Fingerprints()
         for batch in batches:
             counts, removed, kept = [], [], []
-            hashes, checks = batch.column("hashes"), batch.column("checks")
+            hashes, known = batch.column("hashes"), batch.column("known")
             for i, text in enumerate(batch.column("text").to_pylist()):
                 words = text.split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 if len(words) >= WINDOW and hashes[i].is_valid:
-                    w, c = prints.windows(prints.words(text))
-                    known = set(zip(hashes[i].values.to_pylist(), checks[i].values.to_pylist(), strict=True))
-                    at = np.flatnonzero(np.isin(w, hashes[i].values.to_numpy()))
-                    for k in at:
-                        if (int(w[k]), int(c[k])) in known:
-                            gone[k] += 1
-                            gone[min(k + WINDOW, len(words))] -= 1
+                    found = [hashes[i].values.to_numpy(), *[np.frombuffer(x, np.int64) for x in known[i].as_py()]]
+                    at = np.flatnonzero(np.isin(prints.windows(prints.memo.array(words))[0], np.concatenate(found)))
+                    np.add.at(gone, at, 1)
+                    np.add.at(gone, at + WINDOW, -1)
                 stays = np.cumsum(gone)[:-1] == 0
                 counts.append(len(words))
                 removed.append(int(len(words) - stays.sum()))
@@ -228,16 +231,18 @@ def strip_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def substring_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
-    """strip_repeats() of a whole table, in so many batches of ascending ids.
+def substring_dedup(docs: DataFrame, cuts: tuple[float, ...] = (0.25,)) -> DataFrame:
+    """strip_repeats() of a whole table, in batches of ascending ids; cuts: shares of the rows at which a batch ends.
 
     A null text has no words; an empty table gives an empty result. Rows that share an id are one document where
     documents are compared, and each is stripped by itself. Rows without id count as one document after all others.
     """
-    cuts = _rows(docs).agg(F.percentile_approx("doc", F.array(*[F.lit(i / batches) for i in range(1, batches)]) if batches > 1 else F.array(F.lit(1.0)), 1000).alias("c")).first().c or []
+    shares = F.array(*[F.lit(float(c)) for c in (cuts or (1.0,))])
+    found = _rows(docs).agg(F.percentile_approx("doc", shares, 1000).alias("c")).first().c or []
     bloom = shared_anchors(docs)
+    release(docs.sparkSession)
     index, repeats, low = FingerprintIndex(), None, None
-    edges = sorted(set(cuts if batches > 1 else [])) + [LAST]
+    edges = sorted({e for e in found if cuts and e != LAST}) + [LAST]
     for high in edges:
         key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
         part = docs.where((key <= high) & (key > low) if low is not None else key <= high)
