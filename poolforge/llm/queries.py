@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_windows
+from . import byte_bpe, chat_windows, oracles
 from .common import read_table
 from .near_dedup import near_duplicates
 from .nearest import nearest
@@ -68,4 +68,4 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_quality_rules, op2_near_dedup, op3_byte_bpe, op4_pii, op5_toxicity, op6_substring_dedup, op7_quality_classifier, op8_source_mix, op9_nearest, op10_chat_windows)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_quality_rules": oracles.OP1, "op2_near_dedup": oracles.OP2, "op6_substring_dedup": oracles.OP6, "op10_chat_windows": oracles.OP10}
