@@ -160,3 +160,26 @@ def s21(spark, sf):
 def w15(spark, sf):
     one = D.runs(spark, sf).where("bioproject_id = 'PRJNA7'").select("bioproject_id", "srr")
     return one.withColumn("place", F.row_number().over(Window.orderBy("bioproject_id", "srr")).cast("long"))
+
+
+_ANNOTATED = "select o_orderkey, concat(o_orderpriority, ' (', o_orderstatus, ')  ', cast(o_orderkey % 50 as varchar), ' nt') as cell from orders"
+
+
+@query("f25_annotation_normalise", f"with x as ({_ANNOTATED}) select o_orderkey, trim(regexp_replace(regexp_replace(lower(cell), '\\([^)]*\\)', ' ', 'g'), '\\s+', ' ', 'g')) as label, cast(regexp_extract(cell, '([0-9]+)', 1) as integer) as first_number from x")
+def f25(spark, sf):
+    cell = F.concat("o_orderpriority", F.lit(" ("), "o_orderstatus", F.lit(")  "), (F.col("o_orderkey") % 50).cast("string"), F.lit(" nt"))
+    return D.table(spark, sf, "orders").select("o_orderkey", M.normalised_annotation(cell).alias("label"), M.first_integer(cell).alias("first_number"))
+
+
+@query("a48_fetch_statistics", f"with {D.RUNS}, x as (select bioproject_id, case when length(sample_title) = 0 then 'no_url' when cast(substr(srr, 4) as bigint) % 5 = 0 then 'missing' else 'available' end as state from runs) select bioproject_id, count(*) as n_expected, count(*) filter (state = 'available') as n_available, count(*) filter (state = 'missing') as n_missing, count(*) filter (state = 'no_url') as n_no_url from x group by bioproject_id")
+def a48(spark, sf):
+    state = F.when(F.length("sample_title") == 0, "no_url").when(F.substring("srr", 4, 20).cast("long") % 5 == 0, "missing").otherwise("available")
+    marked = D.runs(spark, sf).select("bioproject_id", state.alias("state"))
+    return marked.groupBy("bioproject_id").agg(F.count(F.lit(1)).alias("n_expected"), *[F.count_if(F.col("state") == s).alias(f"n_{s}") for s in ("available", "missing", "no_url")])
+
+
+@query("q11_consistency_batch", _TOPK + _JACC + " select 'even' as dataset, count(*) as n_pairs, round(avg(distance), 9) as mean_distance from d where a % 2 = 0 and b % 2 = 0 union all select 'odd', count(*), round(avg(distance), 9) from d where a % 2 = 1 and b % 2 = 1")
+def q11(spark, sf):
+    d = Q.jaccard_distances(Q.kmer_sets(C.unique_counts(D.inserts(spark, sf)), 6, 200))
+    same = d.where("a % 2 = b % 2").withColumn("dataset", F.when(F.col("a") % 2 == 0, "even").otherwise("odd"))
+    return same.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("distance"), 9).alias("mean_distance"))
