@@ -99,10 +99,10 @@ def shared_anchors(docs: DataFrame) -> np.ndarray:
     rows = _rows(docs).mapInArrow(run, "anchor long, doc long")
     shared = rows.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
     place = F.shiftrightunsigned("anchor", 64 - FILTER_BITS)
-    words = shared.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits"))
+    words = shared.groupBy(F.shiftright(place, 6).cast("long").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits"))
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    got = words.toPandas()
-    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    got = words.toArrow()
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
     return out.view(np.uint64)
 
 
@@ -205,7 +205,8 @@ def strip_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
 
     small_batches(docs.sparkSession)
     single = F.when(F.col("known").isNull(), F.col("hash"))
-    lists = repeats.groupBy("doc").agg(F.collect_list(single).alias("hashes"), F.collect_list("known").alias("known"))
+    # Written before the texts are dealt, so that the windows' shuffle files are gone by then.
+    lists = stored(repeats.groupBy("doc").agg(F.collect_list(single).alias("hashes"), F.collect_list("known").alias("known")), "repeats")
     rows = _rows(docs).withColumn("doc_id", F.when(F.col("doc") != LAST, F.col("doc"))).join(lists, "doc", "left").select("doc_id", "text", "hashes", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
