@@ -129,15 +129,20 @@ def quality_rules(
             zero, w = F.lit(0).cast("long"), x["weights"]
             return F.aggregate(_pairs(h, buckets), zero, lambda acc, p: acc + w[p["u"]] + F.coalesce(w[p["b"]], zero))
 
+        def verdict(o: Column) -> Column:
+            failed = (o["base"]["n_words"] < 50) | (100 * o["base"]["n_repeat_words"] > 50 * o["base"]["n_words"])
+            good = o["llr"] >= F.lit(round(threshold * SCALE)) * o["n"]
+            return F.struct(*[o[c].alias(c) for c in ("base", "llr", "n")], failed.alias("base_failed"), (~failed & good).alias("kept"))
+
         n = F.size(x["words"])
-        return bind(
+        counted = bind(
             _word_hashes(x["words"]),
             lambda h: F.struct(base_counts(F.col("text"), x["words"], h).alias("base"), llr(h).alias("llr"), F.when(n > 0, 2 * n - 1).otherwise(0).cast("long").alias("n")),
         )
+        return bind(counted, verdict)
 
     rows = rows.withColumn("__out", bind(F.col("__in"), judge))
     base = [F.col(f"__out.base.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    failed = (F.col("__out.base.n_words") < 50) | (100 * F.col("__out.base.n_repeat_words") > 50 * F.col("__out.base.n_words"))
-    good = F.col("__out.llr") >= F.lit(round(threshold * SCALE)) * F.col("__out.n")
     extra = [F.col(f"`{c}`") for c in docs.columns] if keep_columns else ["doc_id"]
-    return rows.select(*extra, *base, failed.alias("base_failed"), F.col("__out.llr").alias("llr_millionths"), F.col("__out.n").alias("n_features"), (~failed & good).alias("kept"))
+    # The verdict is one field, so that a filter on it evaluates the whole expression once.
+    return rows.select(*extra, *base, "__out.base_failed", F.col("__out.llr").alias("llr_millionths"), F.col("__out.n").alias("n_features"), "__out.kept")
