@@ -4,8 +4,8 @@ Base kinds are found by pattern: email, ip, card (Luhn) and phone. Their values
 (four letters or more) that stands within ``REACH`` code points of an entity is weighed by information theory: the entity's
 information is IC = log2(N / df(entity)), and what a term tells of it is PMI = log2(N * df(both) / (df(entity) * df(term))), with
 document frequencies over the whole corpus. Where a term tells at least ``DISCLOSURE`` of the information, reading it near
-the masked place would give the entity away, so it becomes a span of kind ``term``. Estimates need entity and term together in at
-least ``SUPPORT`` different texts. Sanitising masks base spans by kind and generalises terms to their kind of word.
+the masked place would give the entity away, so it becomes a span of kind ``term``. The information alone decides: an entity that
+stands in one text is weighed like any other. Sanitising masks base spans by kind and generalises terms to their kind of word.
 
 DataFrame operations only. Positions come from the lengths of the pieces that split() leaves around the matches that
 regexp_extract_all() returns, both by the same pattern. The patterns are the fixed ones with possessive repeats, and with
@@ -31,7 +31,7 @@ PATTERNS = {
 HINTS = {"email": "@", "phone": "+"}
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"\p{L}{4,}+"
-REACH, SUPPORT, DISCLOSURE = 48, 3, 0.9
+REACH, DISCLOSURE = 48, 0.9
 
 
 def _luhn(digits: Column) -> Column:
@@ -109,7 +109,7 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"].cast("string"), F.lit(":"), value)
 
 
-def find_spans(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def find_spans(docs: DataFrame, reach: int = REACH, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, row (hash of the text) and spans, base and term spans by start, then kind, for each row of docs.
 
     A null text counts as empty. Rows that repeat an id or a text are judged alike; extra columns are ignored. An empty
@@ -128,8 +128,7 @@ def find_spans(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, disc
     per_entity = near.select("entity", "doc_id", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     beside = near.select("entity", "doc_id", "row", F.explode("terms").alias("t")).select("entity", "doc_id", "row", "t.*")
     both = beside.select("entity", "term", "doc_id", "row").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    texts = beside.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= support)
-    both = stored(both.join(texts, ["entity", "term"]).join(per_entity, "entity"), "entity_terms")
+    both = stored(both.join(per_entity, "entity"), "entity_terms")
 
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
     per_term = rows.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
