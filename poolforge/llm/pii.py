@@ -1,16 +1,19 @@
 r"""Personal data: fixed patterns, and terms that reveal it by co-occurrence in the corpus.
 
 Base kinds are found by pattern: email, ip, card (Luhn) and phone. Their values are the protected entities. A term
-(four letters or more) that stands within ``REACH`` code points of an entity is weighed by information theory: the entity's
-information is IC = log2(N / df(entity)), and what a term tells of it is PMI = log2(N * df(both) / (df(entity) * df(term))), with
-document frequencies over the whole corpus. Where a term tells at least ``DISCLOSURE`` of the information, reading it near
-the masked place would give the entity away, so it becomes a span of kind ``term``. The information alone decides: an entity that
-stands in one text is weighed like any other. Sanitising masks base spans by kind and generalises terms to their kind of word.
+(four letters or more) of a text that holds an entity is weighed by information theory: the entity's information is
+IC = log2(N / df(entity)), and what a term tells of it is PMI = log2(N * df(both) / (df(entity) * df(term))), with frequencies of
+whole documents over the whole corpus. Where a term tells at least ``DISCLOSURE`` of the information, reading it would give the
+masked entity away, so every occurrence of it in the texts that hold the entity becomes a span of kind ``term``. The information
+alone decides: an entity that stands in one text is weighed like any other, and a term like any other however far off it stands.
+Sanitising masks base spans by kind and generalises terms to their kind of word.
 
 DataFrame operations only. Positions come from the lengths of the pieces that split() leaves around the matches that
 regexp_extract_all() returns, both by the same pattern. The patterns are the fixed ones with possessive repeats, and with
 starts within a run of the same characters ruled out (a run that fails at its start fails everywhere), so that long runs
-take linear time and no stack. Texts are not shuffled to find spans; only entities, terms and counts are.
+take linear time and no stack. Only texts that hold an entity are shuffled, once for all their copies, to find term spans; of
+the others only terms and counts are. As df(both) <= df(entity), a term can reveal no entity that has df(term) > N * (df(entity) / N) **
+DISCLOSURE; such terms are left out before they are paired with entities, which changes no result.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ PATTERNS = {
 HINTS = {"email": "@", "phone": "+"}
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"\p{L}{4,}+"
-REACH, DISCLOSURE = 48, 0.9
+DISCLOSURE = 0.9
+_BLOCK = 256
 
 
 def _luhn(digits: Column) -> Column:
@@ -52,18 +56,33 @@ def _valid(kind: str, value: Column) -> Column:
     return F.length(digits).between(10, 15) if kind == "phone" else F.lit(True)
 
 
+def _sums_before(sizes: Column) -> Column:
+    """For each place the sum of the sizes before it; by blocks, as an array that grows by one is copied each time."""
+
+    def running(xs: Column) -> Column:
+        return F.aggregate(xs, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.size(sizes), F.lit(_BLOCK)), lambda b: running(F.slice(sizes, b + 1, _BLOCK)))
+
+    def joined(inner: Column) -> Column:
+        before = running(F.transform(inner, lambda x: F.element_at(x, -1)))
+        return bind(before, lambda t: F.flatten(F.transform(inner, lambda x, i: F.transform(F.slice(x, 1, F.size(x) - 1), lambda v: v + t[i]))))
+
+    return bind(blocks, joined)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of a pattern's matches, in code points."""
 
     def placed(parts: Column) -> Column:
         found, gaps = parts["found"], parts["gaps"]
+        sizes = F.transform(found, lambda m, i: F.length(m) + F.length(gaps[i + 1]))
 
-        def add(acc: Column, m: Column, i: Column) -> Column:
-            return F.concat(acc, F.array(F.element_at(acc, -1) + F.length(m) + F.length(gaps[i + 1])))
+        def place(starts: Column) -> Column:
+            at = lambda i: starts[i] + F.length(gaps[0])
+            return F.transform(found, lambda m, i: F.struct(at(i).alias("start"), (at(i) + F.length(m)).alias("end"), m.alias("value")))
 
-        numbered = F.transform(found, lambda m, i: F.struct(m.alias("m"), i.alias("i")))
-        starts = F.aggregate(numbered, F.array(F.length(gaps[0])), lambda acc, x: add(acc, x["m"], x["i"]))
-        return bind(starts, lambda s: F.transform(found, lambda m, i: F.struct(s[i].alias("start"), (s[i] + F.length(m)).alias("end"), m.alias("value"))))
+        return bind(bind(sizes, _sums_before), place)
 
     parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern).alias("gaps"))
     return bind(parts, placed)
@@ -86,22 +105,19 @@ def base_spans(text: Column) -> Column:
     return bind(F.coalesce(text, F.lit("")), lambda t: F.sort_array(F.concat(*[of(k, t) for k in KINDS[:4]])))
 
 
-def _terms_near(text: Column, span: Column) -> Column:
-    """Array of (term, start, end) of the whole terms within reach of a span."""
+def _terms(text: Column) -> Column:
+    """The different terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda m: F.lower(m)))
 
-    def side(begin: Column, end: Column, cut_left: Column, cut_right: Column) -> Column:
-        part = F.substring(text, begin + 1, end - begin)
 
-        def kept(p: Column) -> Column:
-            whole = lambda m: (~cut_left | (m["start"] > 0)) & (~cut_right | (m["end"] < F.length(p)))
-            shifted = lambda m: F.struct(F.lower(m["value"]).alias("term"), (m["start"] + begin).alias("start"), (m["end"] + begin).alias("end"))
-            return F.transform(F.filter(matches(p, TERM), whole), shifted)
+def _term_spans(text: Column, base: Column, terms: Column) -> Column:
+    """The spans of the given terms in a text, but those that overlap a base span."""
 
-        return bind(part, kept)
+    def clear(m: Column) -> Column:
+        return ~F.exists(base, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
 
-    size = F.length(text)
-    low, high = F.greatest(span["start"] - REACH, F.lit(0)), F.least(span["end"] + REACH, size)
-    return F.concat(side(low, span["start"], low > 0, F.lit(False)), side(span["end"], high, F.lit(False), high < size))
+    wanted = F.filter(matches(text, TERM), lambda m: F.array_contains(terms, F.lower(m["value"])))
+    return F.transform(F.filter(wanted, clear), lambda m: F.struct(m["start"].alias("start"), F.lit(4).alias("kind"), m["end"].alias("end"), F.lower(m["value"]).alias("value")))
 
 
 def _entity(span: Column) -> Column:
@@ -109,39 +125,40 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"].cast("string"), F.lit(":"), value)
 
 
-def find_spans(docs: DataFrame, reach: int = REACH, disclosure: float = DISCLOSURE) -> DataFrame:
+def find_spans(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, row (hash of the text) and spans, base and term spans by start, then kind, for each row of docs.
 
-    A null text counts as empty. Rows that repeat an id or a text are judged alike; extra columns are ignored. An empty
-    table gives an empty result. Terms that overlap a base span are no spans of their own.
+    A null text counts as empty. Rows that repeat an id or a text are judged alike, and each counts in the frequencies; extra
+    columns are ignored. An empty table gives an empty result. Terms that overlap a base span are no spans of their own.
     """
     rows = only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-
-    def with_terms(x: Column) -> Column:
-        near = F.transform(x["base"], lambda s: F.struct(_entity(s).alias("entity"), _terms_near(x["text"], s).alias("terms")))
-        clear = lambda t: ~F.exists(x["base"], lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-        return F.struct(x["base"].alias("base"), F.transform(near, lambda n: F.struct(n["entity"].alias("entity"), F.filter(n["terms"], clear).alias("terms"))).alias("near"))
-
-    found = rows.select("doc_id", "row", bind(F.struct(base_spans(F.col("text")).alias("base"), F.col("text").alias("text")), with_terms).alias("x"))
-    found = stored(found.select("doc_id", "row", "x.base", "x.near"), "base_spans")
-    near = found.where(F.size("near") > 0).select("doc_id", "row", F.explode("near").alias("n")).select("doc_id", "row", "n.entity", "n.terms")
-    per_entity = near.select("entity", "doc_id", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    beside = near.select("entity", "doc_id", "row", F.explode("terms").alias("t")).select("entity", "doc_id", "row", "t.*")
-    both = beside.select("entity", "term", "doc_id", "row").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    both = stored(both.join(per_entity, "entity"), "entity_terms")
-
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    per_term = rows.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = rows.agg(F.count(F.lit(1)).alias("n"))
-    weighed = both.join(per_term, "term").withColumn("n", total.scalar().cast("double"))
-    information = F.log2(F.col("n") / F.col("n_entity"))
-    told = F.log2(F.col("n") * F.col("n_both") / (F.col("n_entity").cast("double") * F.col("n_term")))
+    held = bind(F.struct(base_spans(F.col("text")).alias("base"), F.col("text").alias("text")), lambda x: F.struct(x["base"].alias("base"), F.when(F.size(x["base"]) > 0, x["text"]).alias("text")))
+    found = stored(rows.select("doc_id", "row", held.alias("x")).select("doc_id", "row", "x.base", "x.text"), "base_spans")
+    # Each different text that holds an entity, once, with the number of rows that have it.
+    texts = found.where("text is not null").groupBy("row").agg(F.first("base").alias("base"), F.first("text").alias("text"), F.count(F.lit(1)).alias("n_rows"))
+    texts = stored(texts, "entity_texts")
+    entities = texts.select("row", "n_rows", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    per_entity = entities.groupBy("entity").agg(F.sum("n_rows").alias("n_entity"))
+    entities = entities.join(per_entity, "entity")
+
+    per_term = rows.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    n = rows.agg(F.count(F.lit(1)).alias("n")).scalar().cast("double")
+    # No term of higher frequency reveals any entity of its text; 1.001 leaves room for rounding.
+    most = entities.groupBy("row").agg(F.max("n_entity").alias("most"))
+    words = texts.select("row", F.explode(_terms(F.col("text"))).alias("term")).join(per_term, "term").join(most, "row")
+    words = words.where(F.col("n_term") <= 1.001 * n * F.pow(F.col("most") / n, F.lit(disclosure))).select("row", "term", "n_term")
+    pairs = stored(words.join(entities, "row"), "entity_terms")
+
+    information = F.log2(n / F.col("n_entity"))
+    told = F.log2(n * F.col("n_both") / (F.col("n_entity").cast("double") * F.col("n_term")))
+    weighed = pairs.groupBy("entity", "term").agg(F.sum("n_rows").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
     revealing = weighed.where((information > 0) & (told >= disclosure * information)).select("entity", "term")
 
-    extra = beside.join(revealing, ["entity", "term"]).select("doc_id", "row", F.struct("start", F.lit(4).alias("kind"), "end", F.col("term").alias("value")).alias("s"))
-    extra = extra.groupBy("doc_id", "row").agg(F.collect_set("s").alias("extra"))
-    joined = found.alias("f").join(extra.alias("e"), F.col("f.doc_id").eqNullSafe(F.col("e.doc_id")) & F.col("f.row").eqNullSafe(F.col("e.row")), "left")
-    return joined.select("f.doc_id", "f.row", F.sort_array(F.concat("base", F.coalesce("extra", F.array().cast(_SPANS)))).alias("spans"))
+    chosen = pairs.join(revealing, ["entity", "term"]).groupBy("row").agg(F.collect_set("term").alias("terms"))
+    extra = texts.join(chosen, "row").select("row", _term_spans(F.col("text"), F.col("base"), F.col("terms")).alias("extra"))
+    joined = found.where("text is not null").select("doc_id", "row", "base").join(extra, "row", "left")
+    spans = joined.select("doc_id", "row", F.sort_array(F.concat("base", F.coalesce("extra", F.array().cast(_SPANS)))).alias("spans"))
+    return spans.unionByName(found.where("text is null").select("doc_id", "row", F.col("base").alias("spans")))
 
 
 def span_text(spans: Column) -> Column:

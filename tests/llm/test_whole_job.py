@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import functions as F
+
 from poolforge.llm import pii
 
 
@@ -16,3 +20,27 @@ def test_terms_of_an_entity_that_stands_once(spark):
     found = term_spans(spark, texts)
     assert found[0] == {(9, 16, "zebulon")}
     assert not any(found[i] for i in range(1, len(texts)))
+
+
+def test_terms_far_from_their_entity(spark):
+    far = "quiet words stand here " * 20
+    texts = [f"Zebulon {far}secret@corp.example {far}said zebulon"] + [far] * 60
+    found = term_spans(spark, texts)
+    places = {(m.start(), m.end(), "zebulon") for m in re.finditer("(?i)zebulon", texts[0])}
+    assert len(places) == 2 and places <= found[0]
+
+
+def test_joint_counts_cover_whole_documents(spark):
+    # Near the entity in one of its five texts, far from it in the others: all five tell.
+    gap = " plain words of any text" * 10
+    texts = [f"Zebulon secret@corp.example number{i}" if i == 0 else f"Zebulon{gap} secret@corp.example" for i in range(5)] + [gap] * 60
+    found = term_spans(spark, texts)
+    assert all((0, 7, "zebulon") in found[i] for i in range(5))
+
+
+def test_places_of_many_matches(spark):
+    text = " ".join(f"w\u00e9rd {i}" + "_" * (i % 3) for i in range(1000))
+    df = spark.createDataFrame([(text,), ("",)], "text string")
+    found = [r.m for r in df.select(pii.matches(F.col("text"), pii.TERM).alias("m")).collect()]
+    assert [(x.start, x.end, x.value) for x in found[0]] == [(m.start(), m.end(), m[0]) for m in re.finditer("w\u00e9rd", text)]
+    assert found[1] == []
