@@ -6,9 +6,8 @@ log ratios divided by their number; a text is kept if that mean reaches ``thresh
 integers (millionths), so that sums and the decision do not depend on the order of addition.
 
 Everything is DataFrame operations. Counting is one partial aggregation with at most ``buckets`` groups; scoring looks
-up an array of ``buckets`` integers that arrives as a scalar subquery. The documents are never shuffled.
-The trusted multinomial is estimated from at most ``target_docs`` trusted ids (those with the smallest md5 of the id),
-a documented bound that makes the broadcast of ids bounded; the raw multinomial covers every document.
+up an array of ``buckets`` integers that arrives as a scalar subquery. Both multinomials cover all of their documents. Ids and
+texts are shuffled once, to mark the trusted ones; ids are not broadcast, as their number grows with the input.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import bind, only, stored, words_of
 
 BUCKETS = 1 << 16
+#: Only the SQL of op1 has this bound; the operator counts every trusted document.
 TARGET_DOCS = 16_384
 THRESHOLD = -0.05
 #: Prior count of each bucket on both sides.
@@ -38,7 +38,7 @@ def _pairs(hashes: Column, buckets: int) -> Column:
     return F.zip_with(hashes, follow, lambda a, b: F.struct((a % buckets).cast("int").alias("u"), ((a * PAIR + b) % buckets).cast("int").alias("b")))
 
 
-def log_ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, target_docs: int = TARGET_DOCS, prior: float = PRIOR) -> DataFrame:
+def log_ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
     """(bucket, weight): round(1e6 * ln((t + prior) / (e + prior))); one row for each bucket.
 
     t is the bucket's count in trusted text, e the count it would have there if trusted text were like the corpus. The
@@ -46,9 +46,9 @@ def log_ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
 
     docs: doc_id, text. trusted: doc_id of trusted documents. A null id is never trusted. Repeated ids count once.
     """
-    ids = only(trusted, "doc_id").where("doc_id is not null").distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(target_docs)
-    ids = ids.withColumn("is_target", F.lit(1))
-    rows = only(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id", "left")
+    ids = only(trusted, "doc_id").where("doc_id is not null").distinct().withColumn("is_target", F.lit(1))
+    # Hashed, not sorted: the side of the ids is small in each task, and the texts need no order.
+    rows = only(docs, "doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left")
     feats = rows.select("is_target", F.inline(bind(_word_hashes(words_of(F.col("text"))), lambda h: _pairs(h, buckets))))
     both = feats.select("is_target", F.explode(F.array("u", "b")).alias("bucket")).where("bucket is not null")
     counts = both.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("is_target").alias("target"))
@@ -108,7 +108,6 @@ def quality_rules(
     docs: DataFrame,
     trusted: DataFrame,
     buckets: int = BUCKETS,
-    target_docs: int = TARGET_DOCS,
     threshold: float = THRESHOLD,
     keep_columns: bool = False,
 ) -> DataFrame:
@@ -119,7 +118,7 @@ def quality_rules(
     by row. Empty tables give no rows; without trusted ids all ratios come from the smoothing alone.
     base_failed: fewer than 50 words, or more than half of the words in a repeated three-word window.
     """
-    table = log_ratio_table(docs, trusted, buckets, target_docs)
+    table = log_ratio_table(docs, trusted, buckets)
     weights = table.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "weight"))), lambda x: x["weight"]).alias("w"))
     rows = docs if keep_columns else only(docs, "doc_id", "text")
     rows = rows.withColumn("__in", F.struct(words_of(F.col("text")).alias("words"), weights.scalar().alias("weights")))

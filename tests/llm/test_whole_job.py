@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 
 from pyspark.sql import functions as F
 
-from poolforge.llm import pii
+from poolforge.llm import pii, quality_rules
 
 
 def term_spans(spark, texts):
@@ -44,3 +46,16 @@ def test_places_of_many_matches(spark):
     found = [r.m for r in df.select(pii.matches(F.col("text"), pii.TERM).alias("m")).collect()]
     assert [(x.start, x.end, x.value) for x in found[0]] == [(m.start(), m.end(), m[0]) for m in re.finditer("w\u00e9rd", text)]
     assert found[1] == []
+
+
+def test_all_trusted_documents_count(spark):
+    # One word for each half of the ids; the former bound of 16,384 ids left some of both out.
+    n = 20_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("text"))
+    docs = docs.unionByName(spark.range(n, 2 * n).select(F.col("id").alias("doc_id"), F.lit("raw").alias("text")))
+    weights = {r.bucket: r.weight for r in quality_rules.log_ratio_table(docs, spark.range(n).select(F.col("id").alias("doc_id"))).collect()}
+    prior = quality_rules.PRIOR
+    for word, target, raw in (("even", n // 2, n // 2), ("odd", n // 2, n // 2), ("raw", 0, n)):
+        expected = raw * n / (2 * n)
+        ratio = math.log((target + prior) / (expected + prior))
+        assert weights[zlib.crc32(word.encode()) % quality_rules.BUCKETS] == round(ratio * quality_rules.SCALE)
