@@ -24,7 +24,7 @@ def _inserts(spark, sf):
 
 @query("q01_diversity_rises")
 def q01(spark, sf):
-    return Q.diversity_rises(_inserts(spark, sf), 400)
+    return Q.diversity_rises(_inserts(spark, sf))
 
 
 @query("q02_low_match", "select l_orderkey, l_linenumber, (l_partkey % 101) / 100.0::double < 0.4 or (l_suppkey % 101) / 100.0::double < 0.4 as low from lineitem")

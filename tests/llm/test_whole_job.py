@@ -9,6 +9,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from poolforge.llm import pii, quality_rules
+from poolforge.plans import q_qc
 
 
 def term_spans(spark, texts):
@@ -59,3 +60,9 @@ def test_all_trusted_documents_count(spark):
         expected = raw * n / (2 * n)
         ratio = math.log((target + prior) / (expected + prior))
         assert weights[zlib.crc32(word.encode()) % quality_rules.BUCKETS] == round(ratio * quality_rules.SCALE)
+
+
+def test_q01_draws_as_many_reads_as_the_smallest_round_has(spark, tmp_path):
+    rows = spark.range(1200).selectExpr("id as l_orderkey", "cast(1 + id % 2 as int) as l_linenumber", "id div 2 as l_partkey", "1L as l_suppkey")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert {r.round: r.uniques for r in q_qc.q01(spark, str(tmp_path)).collect()} == {1: 600, 2: 600}
