@@ -97,3 +97,93 @@ class HashMemo(dict):
         if len(self) > self.most:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+class WordTable(dict):
+    """Two independent 64-bit hashes of words, computed once; a table with more than ``most`` words is emptied between calls."""
+
+    def __init__(self, most: int = 400_000):
+        import xxhash
+
+        super().__init__()
+        self.digest, self.most = xxhash.xxh3_128_digest, most
+        self.new, self.hashes = bytearray(), np.empty((0, 2), np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self)
+        self.new += self.digest(word)
+        return i
+
+    def arrays(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes of the words of all texts, one after another."""
+        if len(self) > self.most:
+            self.clear()
+            self.hashes = self.hashes[:0]
+        at = np.fromiter((i for words in texts for i in map(self.__getitem__, words)), np.int64)
+        if self.new:
+            self.hashes = np.concatenate([self.hashes, np.frombuffer(bytes(self.new), np.uint64).reshape(-1, 2)])
+            self.new.clear()
+        return self.hashes[at, 0], self.hashes[at, 1]
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Integers as bytes: the width of a difference, the least value, and each value's difference from it."""
+    if not len(values):
+        return b""
+    base = int(values.min())
+    reach = int(values.max()) - base
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if reach <= np.iinfo(t).max)
+    return bytes([np.dtype(kind).itemsize]) + np.int64(base).tobytes() + (values.view(np.uint64) - np.int64(base).view(np.uint64)).astype(kind).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    if not data:
+        return np.empty(0, np.int64)
+    kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[data[0]]
+    base = np.frombuffer(data, np.int64, 1, 1).view(np.uint64)[0]
+    return (np.frombuffer(data, kind, offset=9).astype(np.uint64) + base).view(np.int64)
+
+
+#: Least bits of a filter, and bits for each entry.
+LEAST_FILTER_BITS, BITS_EACH = 16, 8
+
+
+def bit_filter(table: DataFrame, column: str, most_bits: int) -> np.ndarray:
+    """Filter of the 64-bit hashes in a column (longs, or packed ones as binary), as 64-bit words.
+
+    About ``BITS_EACH`` bits an entry, 2 ** most_bits at most: a larger set lets more through and never fewer. Tasks make pieces
+    by address, so that the driver only joins them; its memory and the broadcast are bounded by most_bits.
+    """
+    import pyarrow as pa
+
+    packed = dict(table.dtypes)[column] == "binary"
+    n = table.agg(F.sum(F.octet_length(column) / 8) if packed else F.count(column)).first()[0] or 0
+    bits = max(LEAST_FILTER_BITS, min(most_bits, (int(n) * BITS_EACH).bit_length()))
+    piece = max(0, bits - 20)
+
+    def run(batches):
+        whole = np.zeros(1 << (bits - 6), np.uint64)
+        for batch in batches:
+            values = batch.column(column)
+            h = np.frombuffer(b"".join(values.to_pylist()), np.uint64) if packed else values.to_numpy().view(np.uint64)
+            at = h >> np.uint64(64 - bits)
+            np.bitwise_or.at(whole, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        pieces = whole.reshape(1 << piece, -1)
+        some = np.flatnonzero(pieces.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([pieces[i].tobytes() for i in some], pa.binary())], ["piece", "words"])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        whole = np.bitwise_or.reduce([np.frombuffer(x, np.uint64) for x in rows["words"].to_pylist()])
+        return pa.table({"piece": rows["piece"][:1], "words": pa.array([whole.tobytes()], pa.binary())})
+
+    parts = table.select(column).where(F.col(column).isNotNull()).mapInArrow(run, "piece long, words binary")
+    out = np.zeros((1 << piece, 1 << (bits - 6 - piece)), np.uint64)
+    for row in parts.groupBy("piece").applyInArrow(merge, "piece long, words binary").toLocalIterator():
+        out[row.piece] = np.frombuffer(row.words, np.uint64)
+    return out.ravel()
+
+
+def in_filter(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes a filter lets through."""
+    at = hashes >> np.uint64(64 - 6 - (len(words).bit_length() - 1))
+    return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1

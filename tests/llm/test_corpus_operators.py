@@ -13,6 +13,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from .conftest import passage
+
 from poolforge.llm import byte_bpe, chat_windows, graph, near_dedup, nearest, pii, quality_classifier, quality_rules, source_mix, substring_dedup, toxicity
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -190,8 +192,6 @@ def labelled(spark, n, bad, column):
 
 
 def good_text(i):
-    from .conftest import passage
-
     return passage(i, 60) + ". " + passage(i + 5000, 20)
 
 
@@ -245,12 +245,59 @@ def test_substring_dedup_and_batches(docs, rows, empty, spark):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
-def test_index_compacts_runs(docs, spark):
-    index = substring_dedup.FingerprintIndex()
-    for k in range(substring_dedup.MOST_RUNS + 1):
-        index.add(docs.where(f"doc_id between {k * 30} and {k * 30 + 29}"))
+def windows_of(text):
+    w = words_of(text)
+    return [tuple(w[k : k + 13]) for k in range(len(w) - 12)]
+
+
+def test_index_compacts_runs(spark, docs, rows):
+    index = substring_dedup.FingerprintIndex(16, most_runs=2)
+    keyed = substring_dedup._rows(docs).withColumn("key", F.lit(0))
+    found = []
+    for k in range(5):
+        places = index.add(keyed.where(f"doc between {k * 25} and {k * 25 + 24}"))
+        found += substring_dedup.removals(places).collect()
+    assert len(index.runs) == 3 and index.compactions == 1
+    index.compact()
     assert len(index.runs) == 1
-    assert index.runs[0].groupBy("hash", "check").count().where("count > 1").count() == 0
+    stored = index.runs[0].collect()
+    entries = [(h, c) for r in stored for h, c in zip(np.frombuffer(r.hash, np.uint64), np.frombuffer(r["check"], np.uint32), strict=True)]
+    assert all((np.diff(np.frombuffer(r.hash, np.uint64).astype(object)) >= 0).all() for r in stored)
+    assert len(entries) == len(set(entries)) == len({w for i, text, *_ in rows if i < 125 for w in windows_of(text)})
+    assert {r.doc for r in found} == {r.doc_id for r in substring_dedup.substring_dedup(docs).where("n_removed > 0").collect()}
+
+
+def test_substring_dedup_with_repeated_and_null_ids(spark):
+    a, b, c = ("x y " * 3 + passage(k, 30) for k in range(3))
+    rows = [(1, a), (1, a), (1, b), (2, b), (2, c), (2, c + " tail"), (None, a), (None, a), (None, "new " + passage(9, 20)), (None, "new " + passage(9, 20)), (None, None), (7, passage(9, 20)), (7, "loop " * 40)]
+    seen = defaultdict(lambda: substring_dedup.LAST)
+    for i, text in rows:
+        for w in windows_of(text):
+            seen[w] = min(seen[w], substring_dedup.LAST if i is None else i)
+    expect = []
+    for i, text in rows:
+        words, order = words_of(text), substring_dedup.LAST if i is None else i
+        gone = {k + j for k, w in enumerate(windows_of(text)) if seen[w] < order for j in range(13)}
+        expect.append((-1 if i is None else i, len(words), len(gone), " ".join(x for k, x in enumerate(words) if k not in gone)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("extra")).withColumn("kept", F.lit(1))
+    for cuts in ((), (0.3,)):
+        found = [(-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.substring_dedup(df, cuts).collect()]
+        assert sorted(found) == sorted(expect)
+
+
+def test_full_filters_lose_nothing(docs, monkeypatch):
+    whole = {(r.doc_id, r.n_removed, r.kept) for r in substring_dedup.substring_dedup(docs).collect()}
+    monkeypatch.setattr(substring_dedup, "MOST_FILTER_BITS", 6)
+    monkeypatch.setattr(substring_dedup, "MOST_DOC_BITS", 6)
+    monkeypatch.setattr("poolforge.llm.common.LEAST_FILTER_BITS", 6)
+    assert {(r.doc_id, r.n_removed, r.kept) for r in substring_dedup.substring_dedup(docs).collect()} == whole
+
+
+def test_packed_integers():
+    from poolforge.llm.common import pack, unpack
+
+    for values in ([], [5], [-(1 << 62), 1 << 62], [3, 3, 260], [7, 70_000], [0, 1 << 40], [substring_dedup.LAST, -1]):
+        assert unpack(pack(np.array(values, np.int64))).tolist() == values
 
 
 def test_mixing_meets_targets(spark, empty):
