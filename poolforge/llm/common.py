@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,7 +120,7 @@ class WordTable(dict):
         if len(self) > self.most:
             self.clear()
             self.hashes = self.hashes[:0]
-        at = np.fromiter((i for words in texts for i in map(self.__getitem__, words)), np.int64)
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
         if self.new:
             self.hashes = np.concatenate([self.hashes, np.frombuffer(bytes(self.new), np.uint64).reshape(-1, 2)])
             self.new.clear()
@@ -144,12 +145,20 @@ def unpack(data: bytes) -> np.ndarray:
     return (np.frombuffer(data, kind, offset=9).astype(np.uint64) + base).view(np.int64)
 
 
-#: Least bits of a filter, and bits for each entry.
-LEAST_FILTER_BITS, BITS_EACH = 16, 8
+#: Least bits of a filter (a logarithm), and bits for each entry.
+LEAST_FILTER_BITS, BITS_EACH = 16, 16
+
+
+def _marks(hashes: np.ndarray) -> np.ndarray:
+    """The three bits of an entry in its 64-bit word."""
+    out = np.zeros(len(hashes), np.uint64)
+    for shift in (0, 6, 12):
+        out |= np.uint64(1) << ((hashes >> np.uint64(shift)) & np.uint64(63))
+    return out
 
 
 def bit_filter(table: DataFrame, column: str, most_bits: int) -> np.ndarray:
-    """Filter of the 64-bit hashes in a column (longs, or packed ones as binary), as 64-bit words.
+    """Blocked Bloom filter of the 64-bit hashes in a column (longs, or packed ones as binary), as 64-bit words.
 
     About ``BITS_EACH`` bits an entry, 2 ** most_bits at most: a larger set lets more through and never fewer. Tasks make pieces
     by address, so that the driver only joins them; its memory and the broadcast are bounded by most_bits.
@@ -166,8 +175,7 @@ def bit_filter(table: DataFrame, column: str, most_bits: int) -> np.ndarray:
         for batch in batches:
             values = batch.column(column)
             h = np.frombuffer(b"".join(values.to_pylist()), np.uint64) if packed else values.to_numpy().view(np.uint64)
-            at = h >> np.uint64(64 - bits)
-            np.bitwise_or.at(whole, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+            np.bitwise_or.at(whole, (h >> np.uint64(70 - bits)).astype(np.int64), _marks(h))
         pieces = whole.reshape(1 << piece, -1)
         some = np.flatnonzero(pieces.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([pieces[i].tobytes() for i in some], pa.binary())], ["piece", "words"])
@@ -185,5 +193,5 @@ def bit_filter(table: DataFrame, column: str, most_bits: int) -> np.ndarray:
 
 def in_filter(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes a filter lets through."""
-    at = hashes >> np.uint64(64 - 6 - (len(words).bit_length() - 1))
-    return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    marks = _marks(hashes)
+    return words[(hashes >> np.uint64(65 - len(words).bit_length())).astype(np.int64)] & marks == marks

@@ -33,7 +33,7 @@ WINDOW, GRAM = 13, 5
 #: The largest Bloom filters of anchors and of documents, which are broadcast: 128 MB and 16 MB.
 MOST_FILTER_BITS, MOST_DOC_BITS = 30, 27
 #: Windows that a worker compares among themselves at a time, and words that it hashes at a time.
-CHUNK, SPAN = 1_500_000, 200_000
+CHUNK, SPAN = 600_000, 200_000
 #: Bytes of text for each hash range.
 RANGE_BYTES = 16 << 20
 #: Runs that a batch is merged with at most.
@@ -73,15 +73,15 @@ class Fingerprints:
     def __init__(self):
         self.table, self.roll, self.check_roll = WordTable(), Rolling(_A), Rolling(_B)
 
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Two independent hashes of each word, and text and place of each window."""
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Two independent hashes of each word, and text, first word and place in the text of each window."""
         words = [t.split() for t in texts]
         low, high = self.table.arrays(words)
         sizes = np.array([len(w) for w in words], np.int64)
         counts = np.maximum(0, sizes - WINDOW + 1)
         which = np.repeat(np.arange(len(texts)), counts)
         place = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-        return low, high, which, place + np.repeat(np.cumsum(sizes) - sizes, counts)
+        return low, high, which, place + np.repeat(np.cumsum(sizes) - sizes, counts), place
 
     def anchors(self, low: np.ndarray) -> np.ndarray:
         """The anchor of the window that starts at each word."""
@@ -146,7 +146,7 @@ def shared_anchors(rows: DataFrame, ranges: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, parts, held = Fingerprints(), [], 0
         for ids, texts in _blocks(batches, ("doc",)):
-            low, _, which, at = prints.of(texts)
+            low, _, which, at, _ = prints.of(texts)
             if not len(at):
                 continue
             a, d = prints.anchors(low)[at], np.array([i[0] for i in ids], np.int64)[which]
@@ -171,16 +171,34 @@ def shared_anchors(rows: DataFrame, ranges: int) -> DataFrame:
     return packed.groupBy("range").applyInArrow(shared, "range int, n long, hashes binary")
 
 
+def _by_window(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Columns (hash and check first) sorted so that equal windows are neighbours, and where a window begins."""
+    h, c = columns[:2]
+    order = np.argsort(h)
+    new = np.ones(len(h), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    check = c[order]
+    if (check != check[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]).any():  # a hash of two windows
+        order = np.lexsort((c, h))
+        new[1:] = (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])
+    for i, x in enumerate(columns):
+        columns[i] = x[order]
+    return columns, new
+
+
+def _least(values: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The least value of each window, for each of its rows."""
+    return np.minimum.reduceat(values, np.flatnonzero(new))[np.cumsum(new) - 1] if len(values) else values
+
+
 def _settled(parts: list[tuple], ranges: int):
     """Entries of a chunk's windows: first places by hash range, and places of the repeats within the chunk."""
     import pyarrow as pa
 
-    h, c, d, k, p = (np.concatenate([part[i] for part in parts]) for i in range(5))
-    order = np.lexsort((d, c, h))
-    h, c, d, k, p = h[order], c[order], d[order], k[order], p[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-    first = d == d[new][np.cumsum(new) - 1]
+    columns = [np.concatenate([part[i] for part in parts]) for i in range(5)]
+    parts.clear()
+    (h, c, d, k, p), new = _by_window(columns)
+    first = d == _least(d, new)
     out = [_entry(FIRSTS, r, h[first][s], c[first][s], d[first][s], k[first][s], p[first][s], False) for r, s in _cut(h[first], ranges)]
     out += _places(d[~first], k[~first], p[~first], ranges)
     return pa.RecordBatch.from_pylist(out, _schema())
@@ -241,18 +259,17 @@ def window_entries(rows: DataFrame, ranges: int, bits=None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, parts, held = Fingerprints(), [], 0
         for ids, texts in _blocks(batches, ("doc", "key")):
-            low, high, which, at = prints.of(texts)
+            low, high, which, at, place = prints.of(texts)
             if not len(at):
                 continue
             if bits is not None:
                 ok = in_filter(bits.value, prints.anchors(low)[at])
-                which, at = which[ok], at[ok]
+                which, at, place = which[ok], at[ok], place[ok]
             if not len(at):
                 continue
             h, c = prints.windows(low, high, at)
             d, k = (np.array([i[j] for i in ids], np.int64)[which] for j in (0, 1))
-            starts = np.cumsum([0, *[len(t.split()) for t in texts]])
-            parts.append((h, c, d, k, at - starts[which]))
+            parts.append((h, c, d, k, place))
             held += len(h)
             if held >= CHUNK:
                 yield _settled(parts, ranges)
@@ -274,17 +291,14 @@ def _merge(ranges: int):
         known = table.filter(pc.equal(table["kind"], PLACES)).to_pylist()
         if not firsts.num_rows:
             return pa.Table.from_pylist(known, _schema())
-        h, c, d, k, p, old = _columns(firsts, "hash", "check", "doc", "key", "place", "old")
-        order = np.lexsort((~old, d, c, h))
-        h, c, d, k, p, old = h[order], c[order], d[order], k[order], p[order], old[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        repeat = ~old & (d > d[new][np.cumsum(new) - 1])
-        run = new & ~old
+        (h, c, d, k, p, old), new = _by_window(_columns(firsts, "hash", "check", "doc", "key", "place", "old"))
+        least = _least(d, new)
+        repeat = ~old & (d > least)
+        run = new & (_least(np.where(old, d, LAST), new) > least)  # the run has ids of places that no run before has
         which = int(firsts["range"][0].as_py())
         out = known + _places(d[repeat], k[repeat], p[repeat], ranges)
         if run.any():
-            out.append(_entry(FIRSTS, which, h[run], c[run], d[run], None, None, True))
+            out.append(_entry(FIRSTS, which, h[run], c[run], least[run], None, None, True))
         return pa.Table.from_pylist(out, _schema())
 
     return run
@@ -294,11 +308,8 @@ def _compacted(table):
     """All runs of one hash range as one, with the smallest id of each window."""
     import pyarrow as pa
 
-    h, c, d = _columns(table, "hash", "check", "doc")
-    order = np.lexsort((d, c, h))
-    h, c, d = h[order], c[order], d[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    (h, c, d), new = _by_window(_columns(table, "hash", "check", "doc"))
+    d = _least(d, new)
     return pa.Table.from_pylist([_entry(FIRSTS, int(table["range"][0].as_py()), h[new], c[new], d[new], None, None, True)], _schema())
 
 
