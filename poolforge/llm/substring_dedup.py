@@ -42,7 +42,8 @@ MOST_RUNS = 1
 CUTS = (0.0625, 0.125)
 LAST = (1 << 63) - 1
 ENTRY = "kind int, range int, hash binary, check binary, doc binary, key binary, place binary, old boolean"
-PLACES, FIRSTS = 0, 1  # kinds of rows: places of repeats, and windows to be merged
+#: Kinds of rows: places of repeats, windows to be merged, and further places of a document's windows.
+PLACES, FIRSTS, TWINS = 0, 1, 2
 _A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -199,8 +200,25 @@ def _settled(parts: list[tuple], ranges: int):
     parts.clear()
     (h, c, d, k, p), new = _by_window(columns)
     first = d == _least(d, new)
-    out = [_entry(FIRSTS, r, h[first][s], c[first][s], d[first][s], k[first][s], p[first][s], False) for r, s in _cut(h[first], ranges)]
-    out += _places(d[~first], k[~first], p[~first], ranges)
+    out = _places(d[~first], k[~first], p[~first], ranges)
+    # A window that a text repeats has one entry; its other places go straight to the document, tied to the first.
+    window = np.cumsum(new)[first]
+    h, c, d, k, p = (x[first] for x in (h, c, d, k, p))
+    again = np.zeros(len(h), bool)
+    again[1:] = (window[1:] == window[:-1]) & (d[1:] == d[:-1])
+    if again.any():
+        some = again.copy()
+        some[:-1] |= again[1:]
+        rows = np.flatnonzero(some)
+        rows = rows[np.lexsort((p[rows], k[rows], window[rows]))]
+        head = np.ones(len(rows), bool)
+        head[1:] = (window[rows][1:] != window[rows][:-1]) | (k[rows][1:] != k[rows][:-1])
+        heads = rows[np.maximum.accumulate(np.where(head, np.arange(len(rows)), 0))]
+        out += _places(d[rows][~head], k[rows][~head], p[heads][~head], ranges, p[rows][~head])
+        keep = ~some
+        keep[rows[head]] = True
+        h, c, d, k, p = (x[keep] for x in (h, c, d, k, p))
+    out += [_entry(FIRSTS, r, h[s], c[s], d[s], k[s], p[s], False) for r, s in _cut(h, ranges)]
     return pa.RecordBatch.from_pylist(out, _schema())
 
 
@@ -223,24 +241,29 @@ def _deal(d: np.ndarray, k: np.ndarray, ranges: int) -> np.ndarray:
     return (_mixed((d.view(np.uint64) ^ _mixed(k.view(np.uint64))) * np.uint64(_A)) % np.uint64(ranges)).astype(np.int64)
 
 
-def _places(d: np.ndarray, k: np.ndarray, p: np.ndarray, ranges: int) -> list[dict]:
+def _places(d: np.ndarray, k: np.ndarray, p: np.ndarray, ranges: int, twins: np.ndarray | None = None) -> list[dict]:
+    """Rows for the documents of places; twins: other places with the same window."""
     if not len(d):
         return []
     to = _deal(d, k, ranges)
     order = np.lexsort((p, k, d, to))
     to, d, k, p = to[order], d[order], k[order], p[order]
     starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-    return [_entry(PLACES, int(to[a]), None, None, d[a:b], k[a:b], p[a:b], False) for a, b in zip(starts, [*starts[1:], len(to)], strict=True)]
+    out = [_entry(PLACES if twins is None else TWINS, int(to[a]), None, None, d[a:b], k[a:b], p[a:b], False) for a, b in zip(starts, [*starts[1:], len(to)], strict=True)]
+    if twins is not None:
+        for row, a, b in zip(out, starts, [*starts[1:], len(to)], strict=True):
+            row["hash"] = pack(twins[order][a:b])
+    return out
 
 
 def _columns(table, *names: str) -> list[np.ndarray]:
     """Concatenated arrays of packed columns: hash, check, doc, key (0 where absent), place, old."""
-    docs = [unpack(x) for x in table["doc"].to_pylist()]
+    docs = [np.empty(0, np.int64), *[unpack(x) for x in table["doc"].to_pylist()]]
     out = []
     for name in names:
-        values = table[name].to_pylist()
+        values = [None, *table[name].to_pylist()]
         if name in ("hash", "check"):
-            out.append(np.frombuffer(b"".join(values), np.uint64 if name == "hash" else np.uint32))
+            out.append(np.frombuffer(b"".join(values[1:]), np.uint64 if name == "hash" else np.uint32))
         elif name == "doc":
             out.append(np.concatenate(docs))
         elif name == "key":
@@ -288,7 +311,7 @@ def _merge(ranges: int):
         import pyarrow.compute as pc
 
         firsts = table.filter(pc.equal(table["kind"], FIRSTS))
-        known = table.filter(pc.equal(table["kind"], PLACES)).to_pylist()
+        known = table.filter(pc.not_equal(table["kind"], FIRSTS)).to_pylist()
         if not firsts.num_rows:
             return pa.Table.from_pylist(known, _schema())
         (h, c, d, k, p, old), new = _by_window(_columns(firsts, "hash", "check", "doc", "key", "place", "old"))
@@ -330,7 +353,7 @@ class FingerprintIndex:
         run = judged.where(F.col("kind") == FIRSTS)
         run._stored_at = f"{judged._stored_at}/kind={FIRSTS}"
         self.runs.append(run)
-        return judged.where(F.col("kind") == PLACES)
+        return judged.where(F.col("kind") != FIRSTS)
 
     def compact(self) -> None:
         """Merge all runs into one."""
@@ -345,11 +368,25 @@ class FingerprintIndex:
 def removals(places: DataFrame) -> DataFrame:
     """doc, key, starts and ends: the spans of words to remove from each document, from packed places."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def run(table: pa.Table) -> pa.Table:
-        d, k, p = _columns(table, "doc", "key", "place")
+        twins = table.filter(pc.equal(table["kind"], TWINS))
+        d, k, p = _columns(table.filter(pc.equal(table["kind"], PLACES)), "doc", "key", "place")
+        if twins.num_rows:
+            td, tk, tp = _columns(twins, "doc", "key", "place")
+            other = np.concatenate([unpack(x) for x in twins["hash"].to_pylist()])
+            every = [np.concatenate(x) for x in ((d, td), (k, tk), (p, tp))]
+            order = np.lexsort(every[::-1])
+            new = np.ones(len(order), bool)
+            new[1:] = np.any([x[order][1:] != x[order][:-1] for x in every], axis=0)
+            gone = np.logical_or.reduceat(order < len(d), np.flatnonzero(new))[np.cumsum(new) - 1]
+            also = order[gone & (order >= len(d))] - len(d)
+            d, k, p = np.concatenate([d, td[also]]), np.concatenate([k, tk[also]]), np.concatenate([p, other[also]])
         order = np.lexsort((p, k, d))
         d, k, p = d[order], k[order], p[order]
+        if not len(d):
+            return pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]).empty_table()
         document = np.ones(len(d), bool)
         document[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
         span = document.copy()

@@ -269,7 +269,8 @@ def test_index_compacts_runs(spark, docs, rows):
 
 def test_substring_dedup_with_repeated_and_null_ids(spark):
     a, b, c = ("x y " * 3 + passage(k, 30) for k in range(3))
-    rows = [(1, a), (1, a), (1, b), (2, b), (2, c), (2, c + " tail"), (None, a), (None, a), (None, "new " + passage(9, 20)), (None, "new " + passage(9, 20)), (None, None), (7, passage(9, 20)), (7, "loop " * 40)]
+    two = "is on " * 30
+    rows = [(3, two), (4, "x " + two), (None, two), (1, two + "off"), (1, a), (1, a), (1, b), (2, b), (2, c), (2, c + " tail"), (None, a), (None, a), (None, "new " + passage(9, 20)), (None, "new " + passage(9, 20)), (None, None), (7, passage(9, 20)), (7, "loop " * 40)]
     seen = defaultdict(lambda: substring_dedup.LAST)
     for i, text in rows:
         for w in windows_of(text):
