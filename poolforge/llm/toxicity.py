@@ -1,14 +1,19 @@
-"""Toxicity: a weighted finite-state grammar over clauses, with a lexicon learnt from labelled rows.
-
-Two transducers are composed. The lexicon transducer reads letters and writes a word's class (insult, threat, target,
-negation, reported speech, other) with a weight; it is a trie of whole words and of word beginnings. The clause
-transducer reads these classes and adds up the weights of insults and threats, more after or before a target, less
-within reach of a negation or after reported speech. A clause that matches no pattern adds nothing, so words are never
-scored by themselves. A text's score is 1 - exp(-(sum over its matched clauses)), plus the small base of an empty text.
-
-Built-in entries are plain English; the rest is learnt: among a bounded sample of labelled rows, words and beginnings
-of words (4 to 8 letters) that stand in toxic rows with many different left neighbours, and hardly in others, become
-insults with their log odds as weight. Counting neighbours instead of rows keeps copies of one text from teaching its words.
+"""Toxicity: a weighted finite-state grammar over clauses, learnt from labelled rows.
+
+Four transducers are composed. The lexicon reads letters and writes a word's class with a weight; it is a trie of whole words
+and of word beginnings. Negation and reported speech read classes and write them again with a factor, smaller within
+reach of a negation or after a reporting word. The pattern accepts a clause that joins an insult or a threat with a
+target, in any order, and adds up the weights. The last three are tables of transitions, and ``compose`` makes one
+table of them. An insult or threat without a target in its clause adds nothing, so no word is scored by itself. A text's
+score is 1 - exp(-(sum over its matched clauses)), plus the small base of an empty text.
+
+Built-in entries are plain English; the rest is learnt from a bounded sample of labelled rows, whatever its language.
+Insults: words and beginnings of words (4 to 8 letters) that stand in toxic rows with many different left neighbours, and
+hardly in others, with their log odds as weight; counting neighbours instead of rows keeps copies of one text from
+teaching its words. Targets: words that share a clause with an insult in ``TARGET_ROWS`` toxic rows or more. Negations and
+reporting words: words shortly before an insult, or elsewhere in its clause, that go with rows which are not toxic all the same.
+On corpora of running prose the learnt targets are mainly the common words of a language, so there the grammar
+asks little more than that an insult stands within a sentence; a bare word, a heading or a list of words has no target.
 """
 
 from __future__ import annotations
@@ -16,12 +21,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, small_batches
+from .common import only
 from .quality_classifier import in_fold, labelled_sample
 
 SAMPLE = 10_000
@@ -36,10 +42,49 @@ TARGETS = ("you", "your", "u", "he", "she", "they", "them", "him", "her", "peopl
 NEGATIONS = ("not", "never", "no", "isn", "aren", "wasn", "don", "won")
 REPORTS = ("said", "says", "wrote", "called", "quoted", "according", "reported")
 #: How many words a negation reaches, and what negation and reported speech leave of a weight.
-REACH, NEGATED, QUOTED, TARGETED = 2, 0.3, 0.5, 1.25
+REACH, NEGATED, QUOTED = 2, 0.3, 0.5
+#: Least toxic rows in which a learnt target shares a clause with an insult; least rows that are not toxic for a learnt negation or report.
+TARGET_ROWS, DENIAL_ROWS = 5, 5
 _WORD = re.compile(r"[^\W\d_]+").finditer
 _WORDS = re.compile(r"[^\W\d_]+").findall
-_CLAUSE = re.compile(r"[.!?;:\n]")
+_DELIMITERS = ".!?;:\n"
+_CLAUSE = re.compile(f"[{_DELIMITERS}]")
+
+#: Transducers over classes: {(state, class): (next state, class written, factor)}; what is not listed stays and writes what it reads.
+Transducer = dict[tuple[str, int], tuple[str, int, float]]
+NEGATING: Transducer = {("0", NEGATION): (str(REACH), NEGATION, 1.0)}
+for _left in range(1, REACH + 1):
+    NEGATING |= {(str(_left), c): (str(_left - 1), c, NEGATED if c in (INSULT, THREAT) else 1.0) for c in range(OTHER + 1)}
+    NEGATING[str(_left), NEGATION] = (str(REACH), NEGATION, 1.0)
+REPORTING: Transducer = {("0", REPORTED): ("said", REPORTED, 1.0), ("said", INSULT): ("said", INSULT, QUOTED), ("said", THREAT): ("said", THREAT, QUOTED)}
+PATTERN: Transducer = {
+    ("0", TARGET): ("target", TARGET, 1.0),
+    ("0", INSULT): ("harm", INSULT, 1.0),
+    ("0", THREAT): ("harm", THREAT, 1.0),
+    ("harm", TARGET): ("match", TARGET, 1.0),
+    ("target", INSULT): ("match", INSULT, 1.0),
+    ("target", THREAT): ("match", THREAT, 1.0),
+}
+
+
+def compose(*parts: Transducer) -> dict[tuple[tuple[str, ...], int], tuple[tuple[str, ...], float]]:
+    """One table of the parts in turn: {(states, class): (next states, factor)} for all states that can be reached."""
+    start = ("0",) * len(parts)
+    table, pending = {}, [start]
+    seen = {start}
+    while pending:
+        states = pending.pop()
+        for kind in range(OTHER + 1):
+            now, factor, following = kind, 1.0, []
+            for part, state in zip(parts, states, strict=True):
+                state, now, f = part.get((state, now), (state, now, 1.0))
+                following.append(state)
+                factor *= f
+            table[states, kind] = (tuple(following), factor if kind in (INSULT, THREAT) else 0.0)
+            if tuple(following) not in seen:
+                seen.add(tuple(following))
+                pending.append(tuple(following))
+    return table
 
 
 class Lexicon:
@@ -73,25 +118,16 @@ class Lexicon:
         return self.word_out.get(at, found)
 
 
-class ClauseMachine:
-    """Transducer over word classes; its state is (reported, words a negation still reaches, target seen)."""
+_CLAUSES, _START = compose(NEGATING, REPORTING, PATTERN), ("0",) * 3
 
-    @staticmethod
-    def run(classes: Iterator[tuple[int, float]]) -> float:
-        reported, reach, target, open_weight, total = False, 0, False, 0.0, 0.0
-        for kind, weight in classes:
-            if kind == TARGET:
-                target = True
-            elif kind == REPORTED:
-                reported = True
-            elif kind in (INSULT, THREAT):
-                w = weight * (NEGATED if reach else 1.0) * (QUOTED if reported else 1.0)
-                if kind == THREAT:
-                    open_weight += w  # a threat counts only with a target in its clause
-                else:
-                    total += w
-            reach = REACH if kind == NEGATION else max(0, reach - 1)
-        return (total + open_weight) * TARGETED if target else total
+
+def clause_weight(classes: Iterator[tuple[int, float]]) -> float:
+    """Weight of a clause by the composed transducer, 0 unless the pattern accepts it."""
+    state, total = _START, 0.0
+    for kind, weight in classes:
+        state, factor = _CLAUSES[state, kind]
+        total += factor * weight
+    return total if state[-1] == "match" else 0.0
 
 
 class Grammar:
@@ -100,6 +136,7 @@ class Grammar:
     def __init__(self, words: dict[str, tuple[int, float]], beginnings: dict[str, tuple[int, float]]):
         import ahocorasick
 
+        self.words, self.beginnings = words, beginnings
         self.lexicon = Lexicon(words, beginnings)
         self.finder = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for entry, (kind, _) in [*words.items(), *beginnings.items()]:
@@ -108,30 +145,43 @@ class Grammar:
         self.finder.make_automaton()
         self.any = len(self.finder) > 0
 
-    def clauses(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, weight) in code points of each clause that matches a pattern."""
+    def found(self, text: str) -> Iterator[tuple[str, int, int]]:
+        """The text in lower case, and start and end of each clause with an insult or a threat."""
         low = text.lower() if len(text.lower()) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        out, done = [], -1
+        done = -1
         if self.any:
             for end, length in self.finder.iter(low):
                 at = end + 1 - length
                 if at <= done or (at and low[at - 1].isalpha()):
                     continue
-                start = max((low.rfind(c, 0, at) for c in ".!?;:\n")) + 1
+                start = max(done, *(low.rfind(c, done + 1, at) for c in _DELIMITERS)) + 1
                 stop = _CLAUSE.search(low, end + 1)
                 done = stop.start() if stop else len(low)
-                weight = ClauseMachine.run(self.lexicon.read(m[0]) for m in _WORD(low, start, done))
-                if weight > 0:
-                    out.append((start, done, weight))
-        return out
+                yield low, start, done
+
+    def clauses(self, text: str) -> list[tuple[int, int, float]]:
+        """(start, end, weight) in code points of each clause that the pattern accepts."""
+        every = ((a, b, clause_weight(self.lexicon.read(m[0]) for m in _WORD(low, a, b))) for low, a, b in self.found(text))
+        return [c for c in every if c[2] > 0]
 
     def score(self, text: str | None) -> float:
         mass = sum(w for _, _, w in self.clauses(text or ""))
         return 1 - (1 - BASE) * math.exp(-SCALE * mass)
 
 
-def learn(rows: Iterator[tuple[str | None, int]]) -> Grammar:
-    """The grammar with insults learnt from (text, label) rows; without toxic rows, the built-in one."""
+def _built_in() -> dict[str, tuple[int, float]]:
+    words = {w: (INSULT, x) for w, x in INSULTS.items()} | {w: (THREAT, x) for w, x in THREATS.items()}
+    return words | {w: (kind, 0.0) for kind, group in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORTED, REPORTS)) for w in group}
+
+
+@lru_cache(1 << 17)
+def _entries(word: str) -> tuple[str, ...]:
+    """A word and its beginnings, as lexicon entries."""
+    return (word, *(word[:k] + "*" for k in range(4, min(8, len(word)) + 1)))
+
+
+def learn_insults(rows: Iterable[tuple[str | None, int]]) -> Grammar:
+    """The built-in grammar with insults learnt from (text, label) rows."""
     totals, negative = [0, 0], Counter()
     positive: dict[str, set[str]] = defaultdict(set)
     in_rows = Counter()
@@ -144,15 +194,14 @@ def learn(rows: Iterator[tuple[str | None, int]]) -> Grammar:
                 before[w].add(left)
         seen = set()
         for w in set(words):
-            entries = [w, *(w[:k] + "*" for k in range(4, min(8, len(w)) + 1))]
+            entries = _entries(w)
             seen.update(entries)
             if label:
                 for e in entries:
                     if len(positive[e]) < 64:
                         positive[e] |= before[w]
         (in_rows if label else negative).update(seen)
-    words = {w: (INSULT, x) for w, x in INSULTS.items()} | {w: (THREAT, x) for w, x in THREATS.items()}
-    words |= {w: (kind, 0.0) for kind, group in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORTED, REPORTS)) for w in group}
+    words = _built_in()
     scored = []
     for e, neighbours in positive.items():
         if len(neighbours) >= LEAST_SUPPORT and in_rows[e] >= LEAST_ROWS:
@@ -170,24 +219,50 @@ def learn(rows: Iterator[tuple[str | None, int]]) -> Grammar:
     return Grammar(words, beginnings)
 
 
+def learn(rows: Callable[[], Iterable[tuple[str | None, int]]]) -> Grammar:
+    """The grammar learnt from two readings of the same (text, label) rows; without toxic rows, the built-in one."""
+    grammar = learn_insults(rows())
+    read = grammar.lexicon.read
+    # By label: rows in which a word stands shortly before an insult, or elsewhere in the clause of one.
+    near, around = (Counter(), Counter()), (Counter(), Counter())
+    for text, label in rows():
+        close, apart = set(), set()
+        for low, a, b in grammar.found(text or ""):
+            words = _WORDS(low[a:b])
+            harm = [read(w)[0] in (INSULT, THREAT) for w in words]
+            for i, w in enumerate(words):
+                if not harm[i] and any(harm):
+                    (close if any(harm[i + 1 : i + 1 + REACH]) else apart).add(w)
+        near[label].update(close)
+        around[label].update(close | apart)
+    words = dict(grammar.words)
+    for w in {*around[0], *around[1]}:
+        if w in words or read(w)[0] != OTHER:
+            continue
+        if around[1][w] >= TARGET_ROWS and around[1][w] > around[0][w]:
+            words[w] = (TARGET, 0.0)
+        elif near[0][w] >= DENIAL_ROWS and near[0][w] > 4 * near[1][w]:
+            words[w] = (NEGATION, 0.0)
+        elif around[0][w] >= DENIAL_ROWS and around[0][w] > 4 * around[1][w]:
+            words[w] = (REPORTED, 0.0)
+    return Grammar(words, grammar.beginnings)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3, held_out: int = 1) -> Grammar:
     """The grammar learnt from at most ``sample`` labelled rows (label column toxic) outside the held-out fold."""
     rows = labelled_sample(docs, labels, "toxic", folds, held_out, sample // 2)
-    return learn((r.text, r.label) for r in rows.toLocalIterator())
+    return learn(lambda: ((r.text, r.label) for r in rows.toLocalIterator()))
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """doc_id, score and clauses (spans and weights of matched clauses) for each row; a null text counts as empty."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
-    entries = docs.sparkSession.sparkContext.broadcast((grammar.lexicon, grammar.any and list(grammar.finder.keys())))
+    entries = docs.sparkSession.sparkContext.broadcast((grammar.words, grammar.beginnings))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("weight", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, keys = entries.value
-        own = Grammar({k: (INSULT, 0.0) for k in keys or ()}, {})
-        own.lexicon = lexicon
+        own = Grammar(*entries.value)
         for batch in batches:
             found = [own.clauses(t or "") for t in batch.column("text").to_pylist()]
             scores = [1 - (1 - BASE) * math.exp(-SCALE * sum(w for _, _, w in f)) for f in found]
@@ -201,7 +276,8 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, held_out: int = 1, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of docs; extra columns are never read.
 
-    Empty and null texts score the base. Repeated rows, ties and null ids are scored row by row.
+    Empty and null texts score the base; an empty table gives an empty result. Repeated rows, ties and null ids are scored
+    row by row (a null id is in no fold's held-out part). Texts are read whole and in linear time.
     """
     scored = score(docs, fit(docs, labels, sample, folds, held_out))
     return scored.select("doc_id", in_fold(folds, held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

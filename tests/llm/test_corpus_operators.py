@@ -210,10 +210,54 @@ def test_toxicity_on_held_out_rows(spark, empty):
     every = {r.doc_id: r for r in toxicity.toxicity_scores(docs, labels).collect()}
     assert every[400].score == every[401].score < 0.7
     assert toxicity.toxicity_scores(empty, labels).count() == 0
-    grammar = toxicity.learn(iter([]))
+
+
+def test_toxicity_needs_a_target_in_the_clause():
+    grammar = toxicity.learn(lambda: [])
     plain, denied, quoted = (grammar.score(t) for t in ("You are an idiot.", "You are not an idiot.", "They said you are an idiot."))
-    assert plain > quoted > 0.02 and plain > denied > 0.02
+    assert plain > 0.7 > quoted > 0.02 and plain > denied > 0.02
     assert grammar.score("Kill the process.") < 0.1 < grammar.score("I will kill you.")
+    for text in ("idiot", "the idiot proof lock", "Worthless paper", "you. idiot", "not you; scum", None, "", " \n"):
+        assert grammar.score(text) == grammar.score("")
+    assert grammar.score("x " * 50_000 + "you idiot " + "y" * 100_000) == plain
+    rows = [("zorb blag twee " + " ".join(passage(i, 8).split()) + (" gronk mel" if i % 2 else " plim"), i % 2) for i in range(60)]
+    learnt = toxicity.learn(lambda: rows)
+    assert learnt.words["gronk"][0] == toxicity.INSULT and learnt.words["zorb"][0] == toxicity.TARGET
+    assert learnt.score("gronk") < 0.1 and learnt.score("zorb gronk") > 0.5
+    denials = toxicity.learn(lambda: [(f"zorb is {passage(i, 3)} gronk", 1) for i in range(400)] + [(f"zorb {passage(900 + i, 3)} nope gronk", 0) for i in range(6)] + [(passage(i, 9), 0) for i in range(3000)])
+    assert denials.words["gronk"][0] == toxicity.INSULT and denials.words["nope"][0] == toxicity.NEGATION
+    assert denials.score("zorb nope gronk") < denials.score("zorb is gronk")
+
+
+def test_composed_transducers_equal_plain_rules():
+    rng = random.Random(8)
+    for _ in range(3000):
+        classes = [(rng.randrange(6), rng.choice([0.5, 1.0, 4.0])) for _ in range(rng.randint(0, 9))]
+        total, reach, reported = 0.0, 0, False
+        for kind, weight in classes:
+            if kind in (toxicity.INSULT, toxicity.THREAT):
+                total += weight * (toxicity.NEGATED if reach else 1) * (toxicity.QUOTED if reported else 1)
+            reported |= kind == toxicity.REPORTED
+            reach = toxicity.REACH if kind == toxicity.NEGATION else max(0, reach - 1)
+        kinds = {k for k, _ in classes}
+        matched = toxicity.TARGET in kinds and kinds & {toxicity.INSULT, toxicity.THREAT}
+        assert toxicity.clause_weight(iter(classes)) == pytest.approx(total if matched else 0.0)
+
+
+def test_trained_scores_on_awkward_rows(spark):
+    """Null and repeated ids, repeated rows, ties, clashing columns, long texts: each row is scored by itself."""
+    docs, labels = labelled(spark, 120, lambda i: good_text(i) + " grobul snarfi " + good_text(i + 1), "toxic")
+    labels = labels.withColumn("quality", F.col("toxic"))
+    odd = [(None, good_text(1)), (None, good_text(1)), (1, good_text(1)), (1, "other " + good_text(2)), (2, None), (900, "word " * 200_000), (901, "w" * 300_000)]
+    for score in (toxicity.toxicity_scores, quality_classifier.quality_scores):
+        frame = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+        for c in ("score", "held_out", "predicted", "label", "toxic", "quality"):
+            frame = frame.withColumn(c, F.lit("extra"))
+        found = score(frame, labels).collect()
+        assert Counter(r.doc_id for r in found) == Counter([*range(122), *[i for i, _ in odd]])
+        assert all(0 <= r.score <= 1 and r.predicted in (0, 1) and r.held_out is not None for r in found)
+        same = {r.score for r in found if r.doc_id is None}
+        assert len(same) == 1
 
 
 def test_quality_classifier_on_held_out_rows(spark, empty):
