@@ -21,7 +21,6 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 #: Entries of a worker's memo of pieces, and of pairs; a full memo is emptied.
 PIECES, PAIRS = 300_000, 1_000_000
@@ -162,7 +161,6 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
     """
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("text", F.lit("")).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text") + ", tokens array<int>"
 
@@ -183,7 +181,6 @@ def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
     """The kept columns and ``decoded`` (binary) for each row with ``tokens``; null or empty tokens give no bytes."""
     import pyarrow as pa
 
-    small_batches(encoded.sparkSession)
     rows = encoded.select(*[F.col(f"`{c}`") for c in keep], "tokens")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "tokens") + ", decoded binary"
 

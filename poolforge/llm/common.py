@@ -22,8 +22,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only where a local session names none (tests)."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not conf:
         conf = getattr(spark, "_own_shared_dir", None)
         if conf is None:
@@ -61,12 +63,6 @@ def discard(*frames: DataFrame | None) -> None:
             p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of one Arrow batch, as one text can be very long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def bind(value: Column, body) -> Column:
     """body(v) with value computed once per row, however often body uses v."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -83,6 +79,11 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def row_key(df: DataFrame) -> Column:
+    """A hash of a row's columns, but for maps, which have none; equal rows have equal keys."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
+
+
 class HashMemo(dict):
     """Hashes of words, computed once; a memo with more than ``most`` entries is emptied between texts."""
 

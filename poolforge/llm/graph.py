@@ -15,7 +15,9 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
     else:
         around = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    met = around.join(least, "u")
+    # The same number by an expression, so that the minima are dealt for the join by an exchange of their own. Then both sides of
+    # the join are exchanges, and adaptive execution can split the rows of a node that very many links share.
+    met = around.join(least.withColumn("w", F.bitwise_not(F.bitwise_not("u"))).drop("u"), F.col("u") == F.col("w")).drop("w")
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

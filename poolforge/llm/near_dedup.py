@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashMemo, only, small_batches, stored
+from .common import HashMemo, discard, only, stored
 from .graph import components
 
 U_GROUPS, U_WIDTH, V_GROUPS, V_WIDTH = 16, 3, 10, 2
@@ -81,7 +81,6 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc, row, n_shingles, a 128-bit digest of the set (two longs) and its minhash groups, for each row."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Shingler(shingle)
@@ -119,7 +118,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, shingl
     """u and v of the pairs (u, urow, v, vrow) whose full sets have 100 * intersection >= percent * union."""
     import pyarrow as pa
 
-    small_batches(pairs.sparkSession, 256)
     left = texts.select(F.col("row").alias("urow"), F.col("text").alias("utext"))
     right = texts.select(F.col("row").alias("vrow"), F.col("text").alias("vtext"))
     rows = pairs.join(right, "vrow").join(left, "urow").select("u", "v", "urow", "utext", "vtext")
@@ -225,20 +223,32 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     open_rows = stored(marked.join(mixed, "key", "left_semi"), "open_buckets")
     new = stored(remaining_links(open_rows, texts, percent, shingle), "links")
     labels = components(edges.unionByName(new))
+    discard(table, texts, open_rows, edges, new)
     heads = classes.select("d1", "d2", F.col("head.doc").alias("rep"))
-    rows = found.join(heads, ["d1", "d2"], "left").withColumn("rep", F.when((F.col("n_shingles") > 0) & (F.col("doc") < LAST), F.col("rep")).otherwise(F.col("doc")))
+    # Rows without words or id are alone, and share no key in the join.
+    member = (F.col("n_shingles") > 0) & (F.col("doc") < LAST)
+    rows = found.where(member).join(heads, ["d1", "d2"], "left")
     rows = rows.join(labels, rows["rep"] == labels["node"], "left").select("doc", "n_shingles", F.coalesce("label", "rep").alias("c"))
+    # An id without words in one row may have words in another.
+    alone = found.where(~member).select("doc", "n_shingles", F.col("doc").alias("c"))
+    rows = rows.unionByName(alone)
     shown = lambda c: F.when(F.col(c) != LAST, F.col(c))
     return rows.select(shown("doc").alias("doc_id"), "n_shingles", shown("c").alias("component_id"), (F.col("doc") == F.col("c")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """docs without the rows whose group has a smaller id; all columns are kept.
+    """docs with one row of each group of near copies, the one with the smallest id (none last); all columns are kept.
 
-    Of rows that share an id one stays, the one with the smallest hash of its text. Rows without id all stay.
+    Here every text is a document, whether or not it has an id of its own: rows that share an id and differ are compared like
+    others. Of rows with equal id and text one stays. Texts without words are like nothing, and stay.
     """
-    ids = near_duplicates(docs, percent, shingle).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(ids, docs["doc_id"].cast("long") == ids["__id"], "left_semi")
-    one = Window.partitionBy(F.col("doc_id").cast("long")).orderBy(F.xxhash64("text"))
-    kept = kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    each = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text"))
+    groups = near_duplicates(each.select(key.alias("doc_id"), "text"), percent, shingle).select(F.col("doc_id").alias("key"), F.col("component_id").alias("c"))
+    ids = each.groupBy(key.alias("key")).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("id").isNull(), "id", "key")
+    heads = groups.distinct().join(ids, "key").groupBy("c").agg(F.min(F.struct(order.alias("order"), "n")).alias("head"))
+    heads = heads.select(F.col("head.order.key").alias("__key"), F.col("head.n").alias("__n"))
+    kept = docs.withColumn("__key", key).join(heads, "__key").select(*[f"`{c}`" for c in docs.columns], "__key", "__n")
+    several = kept.where("__n > 1").dropDuplicates(["__key"])
+    return kept.where("__n = 1").unionByName(several).drop("__key", "__n")

@@ -7,7 +7,7 @@ pipeline) are held against brute force in the tests.
 from __future__ import annotations
 
 from .chat_windows import BUDGET, HISTORY_TOKENS, HISTORY_TURNS, TURN_TOKENS
-from .quality_rules import BUCKETS, PAIR, PRIOR, SCALE, TARGET_DOCS, THRESHOLD
+from .quality_rules import BUCKETS, PAIR, PRIOR, SCALE, THRESHOLD
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -22,7 +22,7 @@ vocabulary as (select distinct word, list_transform(range(1, octet_length(encode
 crc as (select word, xor(list_reduce(list_prepend(4294967295::ubigint, bytes), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255)::bigint + 1])), 4294967295::ubigint)::bigint as h from vocabulary, tab),
 hashed as (select doc_id, i, dw.word, h, lead(h) over (partition by doc_id order by i) as h2, lead(dw.word) over (partition by doc_id order by i) as w2, lead(dw.word, 2) over (partition by doc_id order by i) as w3 from dw join crc on dw.word = crc.word),
 features as (select doc_id, h % {BUCKETS} as bucket from hashed union all select doc_id, (h * {PAIR} + h2) % {BUCKETS} from hashed where h2 is not null),
-trusted as (select distinct doc_id, md5(doc_id::varchar) as o from labels where quality = 1 and doc_id is not null order by o, doc_id limit {TARGET_DOCS}),
+trusted as (select distinct doc_id from labels where quality = 1 and doc_id is not null),
 counts as (select bucket, count(*) as raw, count(t.doc_id) as target from features f left join trusted t on f.doc_id = t.doc_id group by bucket),
 totals as (select sum(raw)::double as raw_all, sum(target)::double as target_all from counts),
 weights as (select bucket, round(ln((target + {PRIOR}::double) / (raw * target_all / raw_all + {PRIOR}::double)) * {SCALE})::bigint as weight from counts, totals),

@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from .common import bind, only, stored, words_of
 
 BUCKETS = 1 << 16
-#: Only the SQL of op1 has this bound; the operator counts every trusted document.
-TARGET_DOCS = 16_384
 THRESHOLD = -0.05
 #: Prior count of each bucket on both sides.
 PRIOR = 16.0
@@ -104,24 +102,10 @@ def base_counts(text: Column, words: Column, hashes: Column) -> Column:
     )
 
 
-def quality_rules(
-    docs: DataFrame,
-    trusted: DataFrame,
-    buckets: int = BUCKETS,
-    threshold: float = THRESHOLD,
-    keep_columns: bool = False,
-) -> DataFrame:
-    """One row for each input row: doc_id, the base counts, base_failed, llr_millionths, n_features and kept.
-
-    docs: doc_id, text and any further columns, which pass through only with keep_columns. trusted: doc_id.
-    A null or empty text has no words and fails the base rules. Repeated rows and repeated or null ids are judged row
-    by row. Empty tables give no rows; without trusted ids all ratios come from the smoothing alone.
-    base_failed: fewer than 50 words, or more than half of the words in a repeated three-word window.
-    """
-    table = log_ratio_table(docs, trusted, buckets)
+def _verdicts(frame: DataFrame, text: Column, table: DataFrame, buckets: int, threshold: float) -> DataFrame:
+    """frame with __out: struct of base, llr, n, base_failed and kept of the text."""
     weights = table.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "weight"))), lambda x: x["weight"]).alias("w"))
-    rows = docs if keep_columns else only(docs, "doc_id", "text")
-    rows = rows.withColumn("__in", F.struct(words_of(F.col("text")).alias("words"), weights.scalar().alias("weights")))
+    rows = frame.withColumn("__in", F.struct(words_of(text).alias("words"), weights.scalar().alias("weights")))
 
     def judge(x: Column) -> Column:
         def llr(h: Column) -> Column:
@@ -136,12 +120,29 @@ def quality_rules(
         n = F.size(x["words"])
         counted = bind(
             _word_hashes(x["words"]),
-            lambda h: F.struct(base_counts(F.col("text"), x["words"], h).alias("base"), llr(h).alias("llr"), F.when(n > 0, 2 * n - 1).otherwise(0).cast("long").alias("n")),
+            lambda h: F.struct(base_counts(text, x["words"], h).alias("base"), llr(h).alias("llr"), F.when(n > 0, 2 * n - 1).otherwise(0).cast("long").alias("n")),
         )
         return bind(counted, verdict)
 
-    rows = rows.withColumn("__out", bind(F.col("__in"), judge))
-    base = [F.col(f"__out.base.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    extra = [F.col(f"`{c}`") for c in docs.columns] if keep_columns else ["doc_id"]
     # The verdict is one field, so that a filter on it evaluates the whole expression once.
-    return rows.select(*extra, *base, "__out.base_failed", F.col("__out.llr").alias("llr_millionths"), F.col("__out.n").alias("n_features"), "__out.kept")
+    return rows.withColumn("__out", bind(F.col("__in"), judge)).drop("__in")
+
+
+def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each input row: doc_id, the base counts, base_failed, llr_millionths, n_features and kept.
+
+    docs: doc_id and text; further columns are never read. trusted: doc_id.
+    A null or empty text has no words and fails the base rules. Repeated rows and repeated or null ids are judged row
+    by row. Empty tables give no rows; without trusted ids all ratios come from the smoothing alone.
+    base_failed: fewer than 50 words, or more than half of the words in a repeated three-word window.
+    """
+    rows = _verdicts(only(docs, "doc_id", "text"), F.col("text"), log_ratio_table(docs, trusted, buckets), buckets, threshold)
+    base = [F.col(f"__out.base.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return rows.select("doc_id", *base, "__out.base_failed", F.col("__out.llr").alias("llr_millionths"), F.col("__out.n").alias("n_features"), "__out.kept")
+
+
+def kept_documents(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that quality_rules() keeps, with all their columns, whatever their names."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
+    rows = _verdicts(rows, F.col("__doc.text"), log_ratio_table(docs, trusted, buckets), buckets, threshold)
+    return rows.where("__out.kept").select("__doc.*")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, only, stored
+from .common import SPACE_CLASS, row_key, stored
 
 #: Units that one task flies at most, about.
 BLOCK = 4_096
@@ -101,7 +101,7 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
     """Settle the units of a block; a source's only block is landed too."""
-    pdf = pdf.drop(columns="__block").sort_values(["draw", "doc_id", "size"], kind="stable").reset_index(drop=True)
+    pdf = pdf.drop(columns="__block").sort_values(["draw", "key"], kind="stable").reset_index(drop=True)
     land = pdf["blocks"].iloc[0] == 1
     rng = np.random.default_rng([int(np.bitwise_xor.reduce(pdf["draw"].to_numpy(np.int64))) & 0x7FFFFFFF, len(pdf)])
     p, size = pdf["chance"].to_numpy(np.float64).copy(), pdf["size"].to_numpy(np.float64)
@@ -117,31 +117,32 @@ def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights=(1, 2, 3), cap: float = 3.0, share: float = 1.0, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies (how often the mix takes it) for each row of docs.
+    """key, doc_id, source, size, source_size, target and copies (how often the mix takes it) for each row of docs.
 
     size: words of the text, 0 for null. Rows of size 0 keep their source's chance, and count as documents. Repeated rows
-    are units of their own; a null source is a source. An empty table gives an empty result. Extra columns are ignored.
+    are units of their own; a null source is a source. An empty table gives an empty result. Extra columns only count in
+    key, a hash of the row.
     Only the sources' totals come to the driver; their number must fit there.
     """
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(SPACE_CLASS.replace("[", "[^") + "+")).cast("long")
-    units = only(docs, "doc_id", "source", "text").select("doc_id", "source", size.alias("size"))
+    units = docs.select(row_key(docs).alias("key"), F.col("doc_id"), F.col("source"), size.alias("size"))
     units = stored(units, "mix_units")
     total = {r.source: (r.words, r.n) for r in units.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).collect()}
     goal = targets({s: w for s, (w, _) in total.items()}, weights, cap, share)
     plan = [(s, w, float(goal[s]), goal[s] / w if w else 0.0, max(1, math.ceil(n / block))) for s, (w, n) in total.items()]
     plan = spark.createDataFrame(plan, "source string, source_size long, target double, rate double, blocks int")
-    units = units.join(F.broadcast(plan), units["source"].eqNullSafe(plan["source"])).select(units["*"], "source_size", "target", "rate", "blocks")
+    units = units.join(plan, units["source"].eqNullSafe(plan["source"])).select(units["*"], "source_size", "target", "rate", "blocks")
     whole = F.floor(F.col("rate") + EPS)
-    draw = F.xxhash64("doc_id", "source", "size", F.lit(8))
-    units = units.select("doc_id", "source", "size", "source_size", "target", whole.cast("int").alias("whole"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("chance"), draw.alias("draw"), "blocks")
+    draw = F.xxhash64("key", F.lit(8))
+    units = units.select("key", "doc_id", "source", "size", "source_size", "target", whole.cast("int").alias("whole"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("chance"), draw.alias("draw"), "blocks")
 
     schema, done = units.schema, []
     most = max([math.ceil(n / block) for _, n in total.values()], default=1)
     pending, turn = units, 0
     while True:
         last = most == 1
-        place = F.pmod(F.xxhash64("doc_id", "draw", F.lit(turn)), F.col("blocks"))
+        place = F.pmod(F.xxhash64("key", "draw", F.lit(turn)), F.col("blocks"))
         groups = pending.withColumn("__block", place.cast("int"))
         flown = groups.groupBy("source", "__block").applyInPandas(_fly, schema)
         if last:
@@ -156,14 +157,16 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), cap: float = 3.0, share: flo
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("chance")).cast("long").alias("copies"))
+    return out.select("key", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("chance")).cast("long").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mix takes it; rows that share an id take the largest number among them."""
-    copies = mix_sources(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    rows = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).select(docs["*"], "__copies")
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).drop("__copies", "__copy")
+    """docs with each row as often as the mix takes it; equal rows stand together as often as the mix takes all of them."""
+    copies = mix_sources(docs, **options).groupBy(F.col("key").alias("__key")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__n"))
+    columns = [f"`{c}`" for c in docs.columns]
+    rows = docs.withColumn("__key", row_key(docs)).join(copies, "__key").select(*columns, "__key", "__copies", "__n")
+    rows = rows.where("__n = 1").unionByName(rows.where("__n > 1").dropDuplicates(["__key"]))
+    return rows.select(*columns, F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
 
 
 def mix_totals(docs: DataFrame, **options) -> DataFrame:
