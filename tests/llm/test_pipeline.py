@@ -119,7 +119,9 @@ def test_term_spans_equal_a_plain_version(spark):
     for i in range(120):
         words = [rng.choice(vocabulary[: 10 + i % 50]) for _ in range(rng.randint(0, 25))]
         for _ in range(rng.choice([0, 0, 0, 1, 2])):
-            words.insert(rng.randint(0, len(words)), rng.choice(entities[: 2 + i % 7]))
+            k = rng.randrange(2 + i % 7)
+            words.insert(rng.randint(0, len(words)), entities[k])
+            words += ["Zebulon" + "abcdefgh"[k]] * (k % 3)
         rows.append((i if i % 11 else None, " ".join(words) if i % 17 else None))
     rows += rows[:20]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
