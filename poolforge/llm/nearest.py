@@ -18,13 +18,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import only, stored
 
 DIMS, LEAF, CONFIDENCE, K = 8, 32, 0.98, 20
 BLOCK, QUERY_BLOCK = 16_384, 4_096
+#: Rounding of an inner product, as a share of the squared lengths.
+NEAR = 1e-12
 #: Leaves that are verified between two tests.
 STEP = 8
 
@@ -82,16 +84,17 @@ class ProjectedTree:
         length = float(query @ query) + self.top
         rows, scores = np.empty(0, np.int64), np.empty(0)
         for i in range(0, len(order), STEP):
-            if len(rows) >= k and far[order[i]] >= limit * max(0.0, length - 2 * scores.min()):
+            if len(rows) >= k and far[order[i]] >= limit * max(0.0, length - 2 * np.partition(scores, -k)[-k]):
                 break
             new = np.concatenate([self.leaves[j] for j in order[i : i + STEP]])
             new = new[new != skip]
             rows, scores = np.concatenate([rows, new]), np.concatenate([scores, self.vectors[new] @ query])
             if len(rows) > k:
                 best = np.argpartition(-scores, k - 1)
-                keep = scores >= scores[best[k - 1]]  # with all that tie with the last
+                keep = scores >= scores[best[k - 1]] - NEAR * length  # with all that tie with the last, but for rounding
                 rows, scores = rows[keep], scores[keep]
-        return rows, scores
+        # A matrix product rounds by the rows around; these sums do not, so equal vectors have equal scores in every block.
+        return rows, (self.vectors[rows] * query).sum(axis=1)
 
 
 def _search_block(k: int, dims: int, confidence: float):
@@ -100,44 +103,43 @@ def _search_block(k: int, dims: int, confidence: float):
     def run(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(queries) and len(block):
-            block = block.sort_values("vec_id")
-            ids = block["vec_id"].to_numpy(np.int64)
+            block = block.sort_values(["vec_id", "copy"])
+            ids, copies = block["vec_id"].to_numpy(np.int64), block["copy"].to_numpy(np.int64)
             every = np.array(block["v"].tolist(), np.float64)
             _, first, group = np.unique(every, axis=0, return_index=True, return_inverse=True)
             # The ids of each distinct vector, ascending.
             order = np.argsort(group.ravel(), kind="stable")
             starts = np.searchsorted(group.ravel()[order], np.arange(len(first) + 1))
             tree = ProjectedTree(every[first], dims)
-            for own, vector in zip(queries["vec_id"], queries["v"], strict=True):
+            for own, copy, vector in zip(queries["vec_id"], queries["copy"], queries["v"], strict=True):
                 q = np.asarray(vector, np.float64)
                 # One more, as the query's own row may be among them.
                 points, scores = tree.search(q, k + 1, limit)
-                members = [ids[order[starts[p] : starts[p + 1]][: k + 1]] for p in points]
-                found = np.concatenate(members)
+                members = [order[starts[p] : starts[p + 1]][: k + 1] for p in points]
+                at = np.concatenate(members)
                 values = np.repeat(scores, [len(m) for m in members])
-                other = found != own
-                found, values = found[other], values[other]
-                best = np.lexsort((found, -values))[:k]
-                out.append((np.full(len(best), own), found[best], values[best]))
+                other = (ids[at] != own) | (copies[at] != copy)
+                at, values = at[other], values[other]
+                best = np.lexsort((copies[at], ids[at], -values))[:k]
+                out.append((np.full(len(best), own), np.full(len(best), copy), ids[at][best], values[best]))
+        names = {"query_id": "int64", "query_copy": "int64", "vec_id": "int64", "score": "float64"}
         if not out:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("query_id", "vec_id", "score"))})
+            return pd.DataFrame({c: pd.Series(dtype=kind) for c, kind in names.items()})
+        return pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(names)})
 
     return run
 
 
 def valid_vectors(table: DataFrame) -> DataFrame:
-    """vec_id and v (doubles): vectors that are neither null nor zero and hold no null or non-finite component.
+    """vec_id, copy, v (doubles) and size: vectors that are neither null nor zero and hold no null or non-finite component.
 
-    Rows without vec_id are left out. Of rows that share a vec_id, the one with the largest vector (as an array) counts.
-    Only vectors of the commonest length take part (of the shorter, if two are as common).
+    Rows without vec_id are left out. Rows that share a vec_id are told apart by copy, from 1 in the order of their vectors.
     """
     rows = only(table, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(F.exists("v", bad), F.lit(True)) & F.exists("v", lambda x: x != 0))
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    rows = rows.where(F.size("v") == (lengths[0].n if lengths else 0))
-    return rows.groupBy("vec_id").agg(F.max("v").alias("v"))
+    copy = F.row_number().over(Window.partitionBy("vec_id").orderBy("v"))
+    return rows.select("vec_id", copy.cast("long").alias("copy"), "v", F.size("v").alias("size"))
 
 
 def nearest(
@@ -146,21 +148,22 @@ def nearest(
     """query_id, rank, vec_id and score of each query's k nearest found, nearest first, ties to the smaller vec_id.
 
     table: vec_id and embedding; query: an SQL condition on vec_id that says which rows are queries. A query is no candidate
-    of its own. With fewer than k candidates all come. Scores are inner products in double precision.
+    of its own; another row with its vec_id is one. With fewer than k candidates all come. Scores are inner products in double
+    precision. Vectors are compared with those of their own length. Every block of queries meets every block of vectors in a task
+    of its own, so the work grows as queries x vectors / block, and a task's memory does not.
     """
     vectors = stored(valid_vectors(table), "vectors")
     queries = vectors.where(query)
     n, m = vectors.count(), queries.count()
     blocks, query_blocks = max(1, math.ceil(n / block)), max(1, math.ceil(m / query_block))
     each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    a = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("qb"), each(blocks).alias("b"))
-    c = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("b"), each(query_blocks).alias("qb"))
+    a = queries.select("vec_id", "copy", "v", "size", F.pmod(F.xxhash64("vec_id", "copy", F.lit(1)), F.lit(query_blocks)).cast("int").alias("qb"), each(blocks).alias("b"))
+    c = vectors.select("vec_id", "copy", "v", "size", F.pmod(F.xxhash64("vec_id", "copy"), F.lit(blocks)).cast("int").alias("b"), each(query_blocks).alias("qb"))
 
     def run(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         return _search_block(k, dims, confidence)(queries, block)
 
-    found = a.groupBy("qb", "b").cogroup(c.groupBy("qb", "b")).applyInPandas(run, "query_id long, vec_id long, score double")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    keys = ("size", "qb", "b")
+    found = a.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(run, "query_id long, query_copy long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "query_copy").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -382,23 +382,28 @@ def test_nearest_recall_and_awkward_vectors(spark):
     v = rng.standard_normal((1500, 16))
     v[100:400] = v[100]  # many equal vectors
     rows = [(i, [float(x) for x in r], 0) for i, r in enumerate(v.astype(np.float32))]
-    rows += [(2000, None, 0), (2001, [0.0] * 16, 0), (2002, [float("nan")] * 16, 0), (2003, [None] * 16, 0), (2004, [1.0], 0), (2005, [float("inf")] * 16, 0), (7, rows[7][1], 0)]
+    rows += [(2000, None, 0), (2001, [0.0] * 16, 0), (2002, [float("nan")] * 16, 0), (2003, [None] * 16, 0), (2004, [1.0], 0), (2005, [float("inf")] * 16, 0), (7, rows[7][1], 0), (2006, [3.0, 4.0], 0), (2007, [1.0, 0.0], 0), (2050, [1.0, 1.0], 0)]
+    twice = [*range(1500), 7]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("rank", F.lit(1))
     a = v.astype(np.float32).astype(np.float64)
     for block in (400, 16_384):
         out = defaultdict(list)
         for r in sorted(nearest.nearest(df, "vec_id % 50 = 0", k=10, block=block, query_block=9).collect(), key=lambda r: (r.query_id, r["rank"])):
             out[r.query_id].append((r.vec_id, r.score))
-        assert sorted(out) == [i for i in range(1500) if i % 50 == 0]
+        assert sorted(out) == [i for i in range(1500) if i % 50 == 0] + [2000 + 50]
+        assert out.pop(2050) == [(2006, 7.0), (2007, 1.0)]
         hits = 0
         for q, got in out.items():
-            scores = a @ a[q]
-            best = sorted((-scores[i], i) for i in range(1500) if i != q)[:10]
-            hits += len({i for _, i in best} & {i for i, _ in got})
+            scores = (a * a[q]).sum(axis=1)
+            best = sorted((-scores[i], i) for i in twice if i != q)[:10]
+            hits += sum((Counter(i for _, i in best) & Counter(i for i, _ in got)).values())
+            assert got == sorted(got, key=lambda x: (-x[1], x[0]))
             assert all(abs(scores[i] - s) < 1e-9 for i, s in got) and [s for _, s in got] == sorted((s for _, s in got), reverse=True)
         assert hits >= 0.95 * 10 * len(out)
     assert nearest.nearest(df.limit(0), "vec_id % 50 = 0").count() == 0
     assert nearest.nearest(df.where("vec_id < 3"), "vec_id = 0").count() == 2
+    pair = nearest.nearest(df.where("vec_id = 7"), "vec_id = 7").collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in pair] == [(7, 1, 7)] * 2
 
 
 def test_chat_round_trip_and_masks(spark):
