@@ -51,21 +51,34 @@ def one_off_pattern(seq: str) -> str:
     return "|".join(seq[:i] + "." + seq[i + 1 :] for i in range(len(seq))) or ""
 
 
+def near_pattern(seq: str) -> str:
+    """The same words for an engine that looks ahead: one half stands as it is, and is tried before the variants of the other."""
+    half = len(seq) // 2
+    if not half:
+        return one_off_pattern(seq)
+    left, right = seq[:half], seq[half:]
+    return f"{left}(?:{one_off_pattern(right)})|(?=.{{{half}}}{right})(?:{one_off_pattern(left)}){right}"
+
+
 def contains_one_off(seq: Column, primer: str) -> Column:
     """Whether a window of seq is within one substitution of primer."""
-    return seq.rlike(one_off_pattern(primer))
+    return seq.rlike(near_pattern(primer))
 
 
 def near_prefix(seq: Column, primer: str) -> Column:
-    return seq.rlike(f"^(?:{one_off_pattern(primer)})")
+    return seq.rlike(f"^(?:{near_pattern(primer)})")
+
+
+def near_suffix(seq: Column, primer: str) -> Column:
+    return seq.rlike(f"(?:{near_pattern(primer)})$")
 
 
 def at_offset(seq: Column, primer: str, offset: int, slack: int = 3, from_end: bool = False) -> Column:
     """Whether primer stands within one substitution at offset, give or take slack, from the start or the end of seq."""
     low, high = max(0, offset - slack), offset + slack
     if from_end:
-        return seq.rlike(f"(?:{one_off_pattern(primer)}).{{{low},{high}}}$")
-    return seq.rlike(f"^.{{{low},{high}}}(?:{one_off_pattern(primer)})")
+        return seq.rlike(f"(?:{near_pattern(primer)}).{{{low},{high}}}$")
+    return seq.rlike(f"^.{{{low},{high}}}(?:{near_pattern(primer)})")
 
 
 def starts_with_adapter(seq: Column) -> Column:

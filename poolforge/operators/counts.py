@@ -11,6 +11,11 @@ def unique_counts(reads: DataFrame, *keys: str) -> DataFrame:
     return reads.groupBy(*(keys or ("round", "seq"))).agg(F.count(F.lit(1)).alias("reads"))
 
 
+def counted(reads: DataFrame) -> DataFrame:
+    """Counts as they are, reads counted."""
+    return reads if "reads" in reads.columns else unique_counts(reads)
+
+
 def round_totals(counts: DataFrame) -> DataFrame:
     return counts.groupBy("round").agg(F.sum("reads").alias("total"))
 

@@ -7,14 +7,13 @@ round, side and position up to ``MAX_LEN``, on which the boundary rules run.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from statistics import median
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import ADAPTERS, PROBE, near_prefix, normalised, one_off_pattern, rc
+from ..functions.sequences import ADAPTERS, PROBE, near_prefix, near_suffix, normalised, rc
 from . import profiles, signals
-from .counts import unique_counts
+from .counts import counted, unique_counts
 
 # Calibration constants of the rules below.
 MIN_LEN, MAX_LEN, MIN_READS, CONFIDENCE = 14, 60, 500, 0.75
@@ -28,42 +27,30 @@ WEIGHTS = {"match_5p": 0.15, "match_3p": 0.15, "pos_5p": 0.15, "pos_3p": 0.15, "
 WEIGHTS_ONE_ROUND = {"match_5p": 0.225, "match_3p": 0.225, "pos_5p": 0.225, "pos_3p": 0.225, "persistence": 0.0, "n_len": 0.05, "adapter_clean": 0.05}
 
 
-def boundary(supports: list[float], min_len: int = MIN_LEN, confidence: float = CONFIDENCE) -> int:
-    """Length of the constant flank that starts a support profile, 0 for none."""
-    n = len(supports)
-    if n < min_len:
-        return 0
-    pairs = list(zip(supports, supports[1:], strict=False))
-    cliffs = (i for i in range(min_len, len(pairs)) if _is_cliff(supports, i, min_len))
-    end = next(cliffs, n)
-    floor = min(confidence, FLOOR)
-    end = next((i for i, pair in enumerate(pairs[:end]) if max(pair) < floor), end)
-    strong = sum(s >= confidence for s in supports[:end])
-    return end if end >= min_len and strong >= STRONG_SHARE * end else 0
-
-
-def _is_cliff(supports: list[float], i: int, min_len: int) -> bool:
-    base = median(supports[i - min_len : i])
-    return base >= CLIFF_BASELINE and supports[i] <= base - CLIFF_DROP and max(supports[i : i + DROP_RUN]) < CLIFF_AFTER
-
-
-def flank_boundaries(consensus: DataFrame) -> DataFrame:
-    """The same rule as windows over a consensus table (round, pos, support): round and boundary."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("round").orderBy("pos")
-    before = order.rowsBetween(-MIN_LEN, -1)
-    s = consensus.select("round", "pos", "support").withColumns(
-        {"next": F.lead("support").over(order), "base": F.percentile("support", F.lit(0.5)).over(before), "n": F.count(F.lit(1)).over(Window.partitionBy("round"))}
-    )
-    cliff = (F.col("pos") >= MIN_LEN) & F.col("next").isNotNull() & (F.col("base") >= CLIFF_BASELINE)
-    cliff = cliff & (F.col("support") <= F.col("base") - CLIFF_DROP) & (F.greatest("support", "next") < CLIFF_AFTER)
-    low = F.col("next").isNotNull() & (F.greatest("support", "next") < min(CONFIDENCE, FLOOR))
-    ends = s.groupBy("round").agg(F.min(F.when(cliff | low, F.col("pos"))).alias("cut"), F.max("n").alias("n"))
-    ends = ends.select("round", F.coalesce("cut", "n").cast("long").alias("end"), "n")
-    strong = s.join(ends.select("round", "end"), "round").where(F.col("pos") < F.col("end")).groupBy("round").agg(F.avg((F.col("support") >= CONFIDENCE).cast("double")).alias("strong"))
-    good = (F.col("n") >= MIN_LEN) & (F.col("end") >= MIN_LEN) & (F.col("strong") >= STRONG_SHARE)
-    return ends.join(strong, "round", "left").select("round", F.when(good, F.col("end")).otherwise(0).alias("boundary"))
+def support_flags(consensus: DataFrame, *keys: str) -> DataFrame:
+    """consensus (keys, pos, support) with cliff and low, at the positions where a flank may end; keys: ``round`` unless given.
+
+    cliff: after enough positions with a high median support falls sharply and stays down. low: this position and the next
+    one lie under the floor.
+    """
+    order = Window.partitionBy(*(keys or ("round",))).orderBy("pos")
+    s = consensus.withColumns({"next": F.lead("support").over(order), "base": F.percentile("support", F.lit(0.5)).over(order.rowsBetween(-MIN_LEN, -1))})
+    two = F.greatest("support", "next")
+    cliff = F.col("next").isNotNull() & (F.col("pos") >= MIN_LEN) & (F.col("base") >= CLIFF_BASELINE) & (F.col("support") <= F.col("base") - CLIFF_DROP) & (two < CLIFF_AFTER)
+    low = F.col("next").isNotNull() & (two < min(CONFIDENCE, FLOOR))
+    return s.withColumns({"cliff": F.coalesce(cliff, F.lit(False)), "low": low}).drop("next", "base")
+
+
+def flank_boundaries(consensus: DataFrame, *keys: str) -> DataFrame:
+    """keys (``round`` unless given) and boundary: the length of the constant flank that starts a support profile, 0 for none."""
+    keys = keys or ("round",)
+    flagged = support_flags(consensus, *keys)
+    end = F.least(F.min(F.when(F.col("cliff") | F.col("low"), F.col("pos"))), F.count(F.lit(1)))
+    strong = F.collect_list(F.when(F.col("support") >= CONFIDENCE, F.col("pos")))
+    ends = flagged.groupBy(*keys).agg(end.alias("end"), strong.alias("strong"))
+    share = F.size(F.filter("strong", lambda p: p < F.col("end"))) / F.col("end")
+    good = (F.col("end") >= MIN_LEN) & (share >= STRONG_SHARE)
+    return ends.select(*keys, F.when(good, F.col("end")).otherwise(0).cast("long").alias("boundary"))
 
 
 def outer_cut(supports: list[float]) -> int:
@@ -87,81 +74,86 @@ class Flank:
     confidence: float = 0.0
 
 
-def _profile_rows(counts: DataFrame) -> dict[tuple[int, bool], list]:
-    """(round, from_end) -> consensus rows in order; at most two sides of MAX_LEN rows for each round."""
-    both = [profiles.consensus(profiles.base_counts(counts, MAX_LEN, side)).withColumn("side", F.lit(side)) for side in (False, True)]
-    out: dict[tuple[int, bool], list] = {}
-    for r in both[0].unionByName(both[1]).orderBy("round", "side", "pos").collect():
-        out.setdefault((r["round"], r["side"]), []).append(r)
-    return out
-
-
 def detect_flanks(reads: DataFrame) -> dict[int, dict]:
     """For each round: five and three (Flank), mean_length and random_length.
 
-    reads: round, seq. A round with fewer than MIN_READS reads has no flanks.
+    reads: round and seq, or counts. A round with fewer than MIN_READS reads has no flanks. What comes to the driver is at most
+    two sides of MAX_LEN rows for each round.
     """
-    counts = unique_counts(reads).cache()
+    counts = counted(reads) if reads.is_cached else counted(reads).cache()
+    both = [profiles.consensus(profiles.base_counts(counts, MAX_LEN, side)).withColumn("side", F.lit(side)) for side in (False, True)]
+    consensus = both[0].unionByName(both[1]).cache()
+    lengths = {(r["round"], r.side): r.boundary for r in flank_boundaries(consensus, "round", "side").collect()}
     found: dict[int, dict] = {}
-    for (rnd, from_end), rows in _profile_rows(counts).items():
-        supports = [r.support for r in rows]
-        n = boundary(supports)
-        bases = [r.base for r in rows[:n]]
-        sequence = "".join(reversed(bases) if from_end else bases)
-        found.setdefault(rnd, {"five": Flank(), "three": Flank()})["three" if from_end else "five"] = Flank(sequence, supports[:n])
-    exact = []
-    for rnd, sides in found.items():
-        for name, flank in sides.items():
-            if flank.sequence:
-                seq = F.col("seq")
-                hit = near_prefix(seq, flank.sequence) if name == "five" else seq.rlike(f"(?:{one_off_pattern(flank.sequence)})$")
-                mine = (F.col("round") == rnd) & (F.length("seq") >= len(flank.sequence))
-                share = F.sum(F.when(mine & hit, F.col("reads"))) / F.sum(F.when(mine, F.col("reads")))
-                exact.append(F.coalesce(share, F.lit(0.0)).alias(f"{rnd}_{name}"))
-    if exact:
-        for name, value in counts.agg(*exact).first().asDict().items():
-            rnd, side = name.split("_")
-            found[int(rnd)][side].confidence = value
-    for r in counts.groupBy("round").agg(F.bround(F.sum(F.length("seq") * F.col("reads")) / F.sum("reads")).cast("int").alias("mean")).collect():
+    bases: dict[tuple[int, bool], list] = {}
+    for r in consensus.orderBy("round", "side", "pos").collect():
+        bases.setdefault((r["round"], r.side), []).append((r.base, r.support))
+    consensus.unpersist()
+    for (rnd, from_end), rows in bases.items():
+        letters, supports = zip(*rows[: lengths[rnd, from_end]], strict=True) if lengths[rnd, from_end] else ((), ())
+        sequence = "".join(reversed(letters) if from_end else letters)
+        found.setdefault(rnd, {"five": Flank(), "three": Flank()})["three" if from_end else "five"] = Flank(sequence, list(supports))
+    size = F.length("seq")
+    asked = {"mean": F.bround(F.sum(size * F.col("reads")) / F.sum("reads")).cast("int")}
+    for name, near in (("five", near_prefix), ("three", near_suffix)):
+        # One expression for each different flank, not for each round.
+        for i, flank in enumerate(sorted({f[name].sequence for f in found.values()} - {""})):
+            mine = F.col("round").isin([k for k, f in found.items() if f[name].sequence == flank]) & (size >= len(flank))
+            asked[f"{name}_{i}"] = F.sum(F.when(mine & near(F.col("seq"), flank), F.col("reads"))) / F.sum(F.when(mine, F.col("reads")))
+    for r in counts.groupBy("round").agg(*[v.alias(k) for k, v in asked.items()]).collect():
         sides = found.setdefault(r["round"], {"five": Flank(), "three": Flank()})
+        for name in ("five", "three"):
+            sides[name].confidence = next((r[k] for k in asked if k.startswith(name) and r[k] is not None), 0.0)
         l5, l3 = len(sides["five"].sequence), len(sides["three"].sequence)
         sides |= {"mean_length": r["mean"], "random_length": r["mean"] - l5 - l3 if l5 or l3 else None}
-    counts.unpersist()
+    if counts is not reads:
+        counts.unpersist()
     return found
 
 
 def shared_constant(reads: DataFrame, primer: str, from_end: bool = False) -> tuple[str, dict[int, int]]:
     """The part of a 5' flank (or a 3' one, from_end) that all rounds share, and its offset from the edge in each.
 
-    The flank is anchored on its inner core; outer positions stay while every anchored round agrees.
+    reads: round and seq, or counts. The flank is anchored on its inner core; outer positions stay while every anchored round
+    agrees. One pass finds the places of the core and one counts the bases outside it, with a row for each round, place and base.
     """
     if len(primer) <= CORE_LEN:
         return primer, {}
     if from_end:
-        mirrored = reads.select("round", F.reverse("seq").alias("seq"))
+        mirrored = counted(reads).select("round", F.reverse("seq").alias("seq"), "reads")
         kept, offsets = shared_constant(mirrored, primer[::-1])
         return kept[::-1], offsets
     core, outer = primer[-CORE_LEN:], primer[:-CORE_LEN]
     if primer.find(core) != len(outer):
         return primer, {}
-    counts = unique_counts(reads)
+    counts = counted(reads)
     window = len(primer) + SEARCH_SLACK
-    places = signals.agreed_place(signals.core_places(counts, core, window), ANCHOR_AGREEMENT)
-    agreed = {r["round"]: r.place for r in places.collect()}
+    every, places = {}, {}
+    found = F.element_at(signals.single_place(F.col("seq"), core, window), 1)
+    for r in counts.groupBy("round", found.alias("place")).agg(F.sum("reads").alias("n")).collect():
+        every[r["round"]] = every.get(r["round"], 0) + r.n
+        if r.place is not None:
+            places.setdefault(r["round"], {})[r.place] = r.n
+    best = {k: max(v, key=lambda p: (v[p], -p)) for k, v in places.items()}
+    agreed = {k: p for k, p in best.items() if places[k][p] >= ANCHOR_AGREEMENT * sum(places[k].values())}
     here = F.create_map(*[x for k, v in agreed.items() for x in (F.lit(k), F.lit(v))]) if agreed else F.create_map().cast("map<int,int>")
     marked = counts.withColumn("place", here[F.col("round")])
     anchored = marked.where(F.col("place").isNotNull() & (F.substring("seq", F.col("place") + 1, F.lit(CORE_LEN)) == core))
-    reached = {r["round"]: r.n for r in anchored.groupBy("round").agg(F.sum("reads").alias("n")).collect()}
-    every = {r["round"]: r.n for r in counts.groupBy("round").agg(F.sum("reads").alias("n")).collect()}
-    votes = {k for k, n in reached.items() if n >= MIN_ANCHORED * every[k]}
-    if min(every, default=None) not in votes:
-        return primer, {}
-    steps = F.explode(F.sequence(F.lit(1), F.lit(len(outer))))
+    # k = 0 is a read that holds the core at its round's place.
+    reached: dict[int, int] = {}
+    steps = F.explode(F.sequence(F.lit(0), F.lit(len(outer))))
     outside = anchored.select("round", "reads", "seq", "place", steps.alias("k")).where(F.col("place") >= F.col("k"))
-    outside = outside.select("round", "k", F.substring("seq", F.col("place") - F.col("k") + 1, F.lit(1)).alias("base"), "reads").where(F.col("base").isin(*"ACGT"))
+    base = F.when(F.col("k") > 0, F.substring("seq", F.col("place") - F.col("k") + 1, F.lit(1))).otherwise("")
+    outside = outside.select("round", "k", base.alias("base"), "reads").where(F.col("base").isin("", *"ACGT"))
     table: dict[tuple[int, int], dict[str, int]] = {}
     for r in outside.groupBy("round", "k", "base").agg(F.sum("reads").alias("n")).collect():
-        table.setdefault((r["round"], r.k), {})[r.base] = r.n
+        if r.k:
+            table.setdefault((r["round"], r.k), {})[r.base] = r.n
+        else:
+            reached[r["round"]] = r.n
+    votes = {k for k, n in reached.items() if n >= MIN_ANCHORED * every[k]}
+    if min(every, default=None) not in votes:
+        return primer, {}
     kept = 0
     for k in range(1, len(outer) + 1):
         for rnd in votes:
@@ -227,7 +219,7 @@ def library_report(reads: DataFrame, mates: DataFrame | None = None, has_rounds:
     reads: round, seq. mates: round, seq of the second reads, if there are any.
     """
     spark = reads.sparkSession
-    pool = reads.select("round", normalised(F.col("seq")).alias("seq")).cache()
+    pool = unique_counts(reads.select("round", normalised(F.col("seq")).alias("seq"))).cache()
     found = detect_flanks(pool)
     earliest = min(found, default=None)
     has_rounds = len(found) > 1 if has_rounds is None else has_rounds
@@ -241,7 +233,7 @@ def library_report(reads: DataFrame, mates: DataFrame | None = None, has_rounds:
         primers[name] = primer
     where = {"5p": pool, "3p": pool}
     if mates is not None and primers["5p"]:
-        other = mates.select("round", normalised(F.col("seq")).alias("seq"))
+        other = unique_counts(mates.select("round", normalised(F.col("seq")).alias("seq"))).cache()
         second = detect_flanks(other.where(F.col("round") == earliest)).get(earliest, {}).get("five", Flank())
         agree = primers["3p"] and sides["three"].confidence > FOUND and _one_off(primers["3p"], rc(second.sequence))
         if sides["five"].confidence > FOUND and second.confidence > FOUND and not agree:
@@ -271,7 +263,7 @@ def library_report(reads: DataFrame, mates: DataFrame | None = None, has_rounds:
         persist[name] = signals.persistence(table, "rate").first().persistence
     have = [v for v in persist.values() if v is not None]
     row["persistence"] = sum(have) / len(have) if have else None
-    counts = unique_counts(pool.where(F.col("round") == earliest)) if earliest is not None else None
+    counts = pool.where(F.col("round") == earliest) if earliest is not None else None
     if counts is not None and (primers["5p"] or primers["3p"]) and not row["split"]:
         # The insert lies between the constants; what stands before the 5' one is this round's own.
         outside = len(sides["five"].sequence) if primers["5p"] else 0
@@ -280,7 +272,8 @@ def library_report(reads: DataFrame, mates: DataFrame | None = None, has_rounds:
     if primers["5p"] and primers["3p"] and not row["split"]:
         row["orientation"] = signals.orientation(signals.strands(pool.where(F.col("round") == earliest), primers["5p"], primers["3p"])).first().orientation
     row["primer_5p"], row["primer_3p"] = primers["5p"] or None, primers["3p"] or None
-    pool.unpersist()
+    for frame in set(where.values()) | {pool}:
+        frame.unpersist()
     types = "primer_5p string, primer_3p string, match_rate_5p double, match_rate_3p double, pos_5p double, pos_3p double, persistence double, n_length int, n_length_confidence double, orientation string, adapter_clean boolean, split boolean"
     one = spark.createDataFrame([tuple(row.values())], types)
     parts = {"match_5p": F.col("match_rate_5p"), "match_3p": F.col("match_rate_3p"), "pos_5p": F.col("pos_5p"), "pos_3p": F.col("pos_3p"), "persistence": F.col("persistence"), "n_len": F.col("n_length_confidence"), "adapter_clean": F.col("adapter_clean").cast("double")}

@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import at_offset, contains_one_off, near_prefix, occurrences, rc
+from ..functions.sequences import at_offset, contains_one_off, near_prefix, rc
+from .counts import counted
 
 
-def match_rate(reads: DataFrame, primer: str, weight: str | None = None) -> DataFrame:
-    """Share of reads with a window within one substitution of primer; shorter reads are left out."""
-    hit = contains_one_off(F.col("seq"), primer).cast("double")
-    long = reads.where(F.length("seq") >= len(primer))
-    rate = F.sum(hit * F.col(weight)) / F.sum(weight) if weight else F.avg(hit)
-    return long.groupBy("round").agg(rate.alias("match_rate"))
+def _share(hit: Column) -> Column:
+    """Share of reads, over rows of unique sequences."""
+    return F.sum(F.when(hit, F.col("reads")).otherwise(0)) / F.sum("reads")
+
+
+def match_rate(reads: DataFrame, primer: str) -> DataFrame:
+    """Share of reads with a window within one substitution of primer; shorter reads are left out.
+
+    reads: round and seq, or counts (with reads); equal reads are counted first and searched once.
+    """
+    return counted(reads).where(F.length("seq") >= len(primer)).groupBy("round").agg(_share(contains_one_off(F.col("seq"), primer)).alias("match_rate"))
 
 
 def position_consistency(reads: DataFrame, primer: str, offset: int, slack: int = 3, from_end: bool = False) -> DataFrame:
-    """Share of reads with primer (one substitution allowed) near its offset."""
-    hit = at_offset(F.col("seq"), primer, offset, slack, from_end).cast("double")
-    return reads.groupBy("round").agg(F.avg(hit).alias("consistency"))
+    """Share of reads (or counts) with primer (one substitution allowed) near its offset."""
+    return counted(reads).groupBy("round").agg(_share(at_offset(F.col("seq"), primer, offset, slack, from_end)).alias("consistency"))
 
 
 def flank_variants(counts: DataFrame, length: int, offset: int = 0, from_end: bool = False, k: int = 3) -> DataFrame:
@@ -43,9 +48,9 @@ def _strand(five: str, three: str) -> Column:
 
 
 def strands(reads: DataFrame, five: str, three: str) -> DataFrame:
-    """Forward, reverse and ambiguous reads of each round."""
-    by = reads.select("round", _strand(five, three).alias("strand")).groupBy("round")
-    return by.agg(*[F.count_if(F.col("strand") == s).alias(s) for s in ("forward", "reverse", "ambiguous")])
+    """Forward, reverse and ambiguous reads (or counts) of each round."""
+    by = counted(reads).select("round", "reads", _strand(five, three).alias("strand")).groupBy("round")
+    return by.agg(*[F.sum(F.when(F.col("strand") == s, F.col("reads")).otherwise(0)).alias(s) for s in ("forward", "reverse", "ambiguous")])
 
 
 def orientation(strand_counts: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
@@ -62,11 +67,18 @@ def persistence(rates: DataFrame, column: str) -> DataFrame:
     return x.select(F.when((F.col("n") >= 2) & (F.col("m") >= 0.1), F.round(value, 9)).alias("persistence"))
 
 
+def single_place(seq: Column, core: str, window: int) -> Column:
+    """Array of the one place of core within the first ``window`` bases; null unless there is just one."""
+    head = F.substring(seq, 1, window)
+    first = F.instr(head, core) - 1
+    again = F.instr(F.substring(head, first + 2, F.lit(window)), core)
+    return F.when((first >= 0) & (again == 0), F.array(first))
+
+
 def core_places(counts: DataFrame, core: str, window: int) -> DataFrame:
     """round, place and reads of sequences that hold core exactly once within the first ``window`` bases."""
-    found = occurrences(F.substring("seq", 1, window), core)
-    one = counts.select("round", "reads", found.alias("at")).where(F.size("at") == 1)
-    return one.groupBy("round", F.element_at("at", 1).alias("place")).agg(F.sum("reads").alias("n"))
+    one = counts.select("round", "reads", F.element_at(single_place(F.col("seq"), core, window), 1).alias("place")).where("place is not null")
+    return one.groupBy("round", "place").agg(F.sum("reads").alias("n"))
 
 
 def agreed_place(places: DataFrame, agreement: float = 0.8) -> DataFrame:

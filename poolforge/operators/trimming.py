@@ -8,56 +8,72 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import one_off_pattern, reverse_complement
+from ..functions.sequences import near_prefix, reverse_complement
 
 ERROR_RATE, MIN_OVERLAP, MIN_LENGTH, MAX_LENGTH = 0.1, 3, 15, 200
 
 
-def _substitutions(a: Column, pattern: str) -> Column:
-    """Places where the leading letters of a differ from pattern."""
-    return sum((F.when(F.substring(a, i + 1, 1) == c, 0).otherwise(1) for i, c in enumerate(pattern)), F.lit(0))
+def _with_substitutions(word: str, k: int) -> str:
+    """Pattern of all words within k substitutions of word.
 
+    Of k + 1 pieces of such a word one at least stands as it is; it is looked for ahead, before the variants of the others.
+    """
+    k = min(k, len(word))
+    if not k:
+        return word
+
+    def variants(part: str) -> list[str]:
+        return ["".join("." if i in gone else c for i, c in enumerate(part)) for gone in map(set, combinations(range(len(part)), min(k, len(part))))]
 
-def _with_substitutions(word: str, k: int) -> list[str]:
-    """Patterns of all words within k substitutions of word."""
-    return ["".join("." if i in gone else c for i, c in enumerate(word)) for gone in map(set, combinations(range(len(word)), min(k, len(word))))]
+    cuts = [len(word) * i // (k + 1) for i in range(k + 2)]
+    out = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        piece, rest = word[a:b], word[:a] + word[b:]
+        some = "|".join(v[:a] + piece + v[a:] for v in variants(rest))
+        out.append(f"(?=.{{{a}}}{piece})(?:{some})")
+    return "|".join(out)
 
 
 def _three_start(seq: Column, primer: str, rate: float) -> Column:
-    """Start of the leftmost 3' primer with allowed substitutions (whole, or cut off at the read's end); -1 for none.
+    """Start of the 3' primer with allowed substitutions, whole or cut off at the read's end; -1 for none.
 
-    Up to two substitutions are a generated pattern, which the regular-expression engine searches in one go.
+    The place with most equal letters wins, then the one with fewest errors, then the leftmost. Up to two substitutions are
+    generated patterns, tried from the best outcome down, so that a read is searched no further than its best match.
     """
-    if int(rate * len(primer)) <= 2:
-        parts = _with_substitutions(primer, int(rate * len(primer)))
-        parts += [p + "$" for n in range(len(primer) - 1, MIN_OVERLAP - 1, -1) for p in _with_substitutions(primer[:n], int(rate * n))]
-        return F.regexp_instr(seq, F.lit("|".join(parts))) - 1
-    n = F.length(seq)
+    size, n = len(primer), F.length(seq)
+    if int(rate * size) <= 2:
+        tries = [(-(size - k), k, F.nullif(F.regexp_instr(seq, F.lit(_with_substitutions(primer, k))), F.lit(0)) - 1) for k in range(int(rate * size) + 1)]
+        for cut in range(MIN_OVERLAP, size):
+            tail = F.right(seq, F.lit(cut))
+            for k in range(int(rate * cut) + 1):
+                here = seq.endswith(primer[:cut]) if not k else (n >= cut) & tail.rlike(f"^(?:{_with_substitutions(primer[:cut], k)})$")
+                tries.append((-(cut - k), k, F.when(here, n - cut)))
+        return F.coalesce(*[at for _, _, at in sorted(tries, key=lambda t: t[:2])], F.lit(-1))
 
-    def here(i: Column) -> Column:
-        size = F.least(F.lit(len(primer)), n - i)
-        differ = F.aggregate(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), F.lit(0), lambda acc, j: acc + F.when(F.substring(seq, i + j, F.lit(1)) == F.substring(F.lit(primer), j, F.lit(1)), 0).otherwise(1))
-        return (size >= MIN_OVERLAP) & (differ <= F.floor(size * rate))
+    def at(i: Column) -> Column:
+        reach = F.least(F.lit(size), n - i)
+        differ = F.aggregate(F.sequence(F.lit(1), F.greatest(reach, F.lit(1))), F.lit(0), lambda acc, j: acc + F.when(F.substring(seq, i + j, F.lit(1)) == F.substring(F.lit(primer), j, F.lit(1)), 0).otherwise(1))
+        return F.struct((differ - reach).alias("unequal"), differ.alias("errors"), i.alias("start"), ((reach >= MIN_OVERLAP) & (differ <= F.floor(reach * rate))).alias("good"))
 
-    found = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), here)
-    return F.coalesce(F.get(found, F.lit(0)), F.lit(-1))
+    found = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), at), lambda x: x["good"])
+    return F.coalesce(F.array_min(found)["start"], F.lit(-1))
 
 
 def strict_trim(reads: DataFrame, five: str | None, three: str | None, rate: float = ERROR_RATE, shortest: int = MIN_LENGTH, longest: int | None = MAX_LENGTH) -> DataFrame:
     """reads whose insert lies between an anchored 5' primer and a 3' primer, without gaps; seq becomes the insert.
 
-    Columns only, so the plan stays in generated code but for the search of the 3' primer.
+    Columns only, so the plan stays in generated code. What a step finds goes through a generator: a filter on it would be pushed
+    below the projection, and the whole search with it, and run twice.
     """
+    rest = [F.col(f"`{c}`") for c in reads.columns if c != "seq"]
     out, seq = reads, F.col("seq")
     if five:
-        allowed = int(rate * len(five))
-        out = out.where((F.length("seq") >= len(five)) & (_substitutions(seq, five) <= allowed)).withColumn("seq", F.substring(seq, F.lit(len(five) + 1), F.length(seq)))
+        head = seq.rlike(f"^(?:{_with_substitutions(five, int(rate * len(five)))})")
+        out = out.select(*rest, F.explode(F.when(head, F.array(F.substring(seq, F.lit(len(five) + 1), F.length(seq))))).alias("seq"))
     if three:
-        exact = F.instr(seq, three) - 1
-        # An exact copy wins and is found by a plain search; only other reads are searched place by place.
-        at = F.when(exact >= 0, exact).otherwise(_three_start(seq, three, rate))
-        out = out.withColumn("__at", at).where("__at >= 0").withColumn("seq", F.substring(seq, F.lit(1), F.col("__at"))).drop("__at")
-    out = out.where(F.length("seq") >= shortest)
+        out = out.select(*rest, seq, F.explode(F.array(_three_start(seq, three, rate))).alias("__at")).where("__at >= 0")
+        out = out.select(*rest, F.substring(seq, F.lit(1), F.col("__at")).alias("seq"))
+    out = out.select(*[F.col(f"`{c}`") for c in reads.columns]).where(F.length("seq") >= shortest)
     return out.where(F.length("seq") <= longest) if longest is not None and three else out
 
 
@@ -185,7 +201,7 @@ def demultiplexed(reads: DataFrame, barcodes: list[tuple[str, int]]) -> DataFram
     check_barcodes([b for b, _ in barcodes])
     seq, call, size = F.col("seq"), F.lit(None).cast("int"), len(barcodes[0][0]) if barcodes else 0
     for code, rnd in reversed(barcodes):
-        call = F.when(seq.rlike(f"^(?:{one_off_pattern(code)})"), F.lit(rnd)).otherwise(call)
+        call = F.when(near_prefix(seq, code), F.lit(rnd)).otherwise(call)
     out = reads.withColumn("round", call)
     cut = lambda c: F.when(F.col("round").isNotNull(), F.substring(c, F.lit(size + 1), F.length(c))).otherwise(F.col(c))
     out = out.withColumn("seq", cut("seq"))

@@ -45,11 +45,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """round, rec, seq: seven rounds whose pool narrows, with a tag of its own before each round's flank."""
     n = F.col("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_orderkey", "l_partkey", "l_suppkey")
+    cores = spark.sparkContext.defaultParallelism
+    if len(lines.inputFiles()) < cores and lines.rdd.getNumPartitions() < cores:
+        lines = lines.repartition(cores)  # a small file is one split, and would be one task
     tag = F.substring(F.translate(F.md5(F.concat(F.lit("t5_"), n.cast("string"))), _HEX, _BASES), F.lit(1), (4 + n % 4).cast("int"))
     key = F.col("l_partkey") % F.floor(2000 / n)
     insert = F.translate(F.substring(F.md5(key.cast("string")), 1, INSERT), _HEX, _BASES)
     three = F.when(F.col("l_suppkey") % 20 == 0, THREE_VARIANT).otherwise(THREE)
-    return table(spark, sf_dir, "lineitem").select(n.cast("int").alias("round"), (F.col("l_orderkey") * 10 + n).alias("rec"), F.concat(tag, F.lit(FIVE), insert, three).alias("seq"))
+    return lines.select(n.cast("int").alias("round"), (F.col("l_orderkey") * 10 + n).alias("rec"), F.concat(tag, F.lit(FIVE), insert, three).alias("seq"))
 
 
 def inserts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,11 +152,11 @@ def m05(spark, sf):
 
 @query(
     "m06_catalogue_rebuild",
-    f"""with {D.RUNS}, k as (select bioproject_id, count(*) as n_runs, count(*) filter ({_OK}) as n_ok from runs where srr <= 'SRR00004000' group by bioproject_id having count(*) filter ({_OK}) > 0),
+    f"""with {D.RUNS}, k as (select bioproject_id, count(*) as n_runs, count(*) filter ({_OK}) as n_ok from runs where md5(srr) <= 'c' group by bioproject_id having count(*) filter ({_OK}) > 0),
     o as (select concat('zenodo:', cast(page_id as varchar)) as id from pages where page_id % 7 = 0) select bioproject_id, cast(n_runs as bigint) as n_runs from k union all select id, 0 from o""",
 )
 def m06(spark, sf):
-    runs = M.first_row(D.runs(spark, sf).where("srr <= 'SRR00004000'").unionByName(D.runs(spark, sf).where("srr <= 'SRR00000100'")), "srr", ["srr"])
+    runs = M.first_row(D.runs(spark, sf).where("md5(srr) <= 'c'").unionByName(D.runs(spark, sf).where("md5(srr) <= '2'")), "srr", ["srr"])
     kept = M.study_strategies(runs).where(~F.col("exclude")).select("bioproject_id", "n_runs")
     old = D.table(spark, sf, "pages").where("page_id % 7 = 0").select(F.concat(F.lit("zenodo:"), F.col("page_id").cast("string")).alias("bioproject_id"), F.lit(0).cast("long").alias("n_runs"))
     return kept.unionByName(M.passthrough(old.unionByName(kept), kept))
@@ -284,9 +284,9 @@ def a62(spark, sf):
     return _parsed(spark, sf).agg(F.count(F.lit(1)).alias("n_runs"), F.count_if(~M.is_unassigned()).alias("n_assigned"), F.count_distinct("bioproject_id").alias("n_deposits"))
 
 
-@query("j02_sample_rounds", f"with {ROUNDS} select r.bioproject_id, count(*) as n, count(p.round_number) as n_round from runs r left join (select * from parsed where srr < 'SRR00002000') p on r.srr = p.srr group by r.bioproject_id")
+@query("j02_sample_rounds", f"with {ROUNDS} select r.bioproject_id, count(*) as n, count(p.round_number) as n_round from runs r left join (select * from parsed where md5(srr) < '6') p on r.srr = p.srr group by r.bioproject_id")
 def j02(spark, sf):
-    some = _parsed(spark, sf).where("srr < 'SRR00002000'").select("srr", "round_number")
+    some = _parsed(spark, sf).where("md5(srr) < '6'").select("srr", "round_number")
     return D.runs(spark, sf).join(some, "srr", "left").groupBy("bioproject_id").agg(F.count(F.lit(1)).alias("n"), F.count("round_number").alias("n_round"))
 
 
@@ -296,10 +296,10 @@ def j03(spark, sf):
     return D.table(spark, sf, "orders").join(c, "o_custkey", "left").select("o_orderkey", F.coalesce("c_mktsegment", F.lit("{}")).alias("attributes"))
 
 
-@query("j06_enrich", f"with {D.RUNS} select a.srr, coalesce(nullif(trim(a.sample_title), ''), b.t, '') as sample_title from runs a left join (select srr, concat('old ', srr) as t from runs where srr < 'SRR00003000') b on a.srr = b.srr")
+@query("j06_enrich", f"with {D.RUNS} select a.srr, coalesce(nullif(trim(a.sample_title), ''), b.t, '') as sample_title from runs a left join (select srr, concat('old ', srr) as t from runs where md5(srr) < '8') b on a.srr = b.srr")
 def j06(spark, sf):
     r = D.runs(spark, sf).select("srr", "sample_title")
-    old = r.where("srr < 'SRR00003000'").withColumn("sample_title", F.concat(F.lit("old "), F.col("srr")))
+    old = r.where("md5(srr) < '8'").withColumn("sample_title", F.concat(F.lit("old "), F.col("srr")))
     return M.enriched(r, old, ["sample_title"], "srr")
 
 
@@ -309,24 +309,24 @@ def j07(spark, sf):
     return M.passthrough(ids.select(F.col("id").alias("bioproject_id")), ids.where("page_id % 8 = 2").select(F.col("id").alias("bioproject_id")))
 
 
-@query("j08_missing_samples", f"with {D.RUNS} select distinct bioproject_id from runs where bioproject_id not in (select bioproject_id from runs where srr < 'SRR00000050')")
+@query("j08_missing_samples", f"with {D.RUNS} select distinct bioproject_id from runs where bioproject_id not in (select bioproject_id from runs where md5(bioproject_id) < 'c')")
 def j08(spark, sf):
     r = D.runs(spark, sf)
-    return r.select("bioproject_id").distinct().join(r.where("srr < 'SRR00000050'").select("bioproject_id"), "bioproject_id", "left_anti")
+    return r.select("bioproject_id").distinct().join(r.where("md5(bioproject_id) < 'c'").select("bioproject_id"), "bioproject_id", "left_anti")
 
 
-@query("j12_curated_rounds", f"with {ROUNDS}, c as (select srr, cast(length(sample_title) % 5 as integer) as cur from runs where srr < 'SRR00005000') select case when c.cur is null then 'not_curated' when p.round_number is null then 'missing' when p.round_number = c.cur then 'agree' else 'differ' end as outcome, count(*) as n from parsed p left join c on p.srr = c.srr group by 1")
+@query("j12_curated_rounds", f"with {ROUNDS}, c as (select srr, cast(length(sample_title) % 5 as integer) as cur from runs where md5(srr) < '9') select case when c.cur is null then 'not_curated' when p.round_number is null then 'missing' when p.round_number = c.cur then 'agree' else 'differ' end as outcome, count(*) as n from parsed p left join c on p.srr = c.srr group by 1")
 def j12(spark, sf):
     p = _parsed(spark, sf)
-    c = p.where("srr < 'SRR00005000'").select("srr", (F.length("sample_title") % 5).alias("cur"))
+    c = p.where("md5(srr) < '9'").select("srr", (F.length("sample_title") % 5).alias("cur"))
     outcome = F.when(F.col("cur").isNull(), "not_curated").when(F.col("round_number").isNull(), "missing").when(F.col("round_number") == F.col("cur"), "agree").otherwise("differ")
     return p.join(c, "srr", "left").select(outcome.alias("outcome")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j22_completeness", f"with {D.RUNS}, k as (select distinct bioproject_id from runs), h as (select distinct bioproject_id from runs where srr < 'SRR00000090') select count(*) as n_all, count(h.bioproject_id) as n_present, round(100.0::double * count(h.bioproject_id) / count(*), 6) as percent from k left join h on k.bioproject_id = h.bioproject_id")
+@query("j22_completeness", f"with {D.RUNS}, k as (select distinct bioproject_id from runs), h as (select distinct bioproject_id from runs where md5(bioproject_id) < '8') select count(*) as n_all, count(h.bioproject_id) as n_present, round(100.0::double * count(h.bioproject_id) / count(*), 6) as percent from k left join h on k.bioproject_id = h.bioproject_id")
 def j22(spark, sf):
     r = D.runs(spark, sf)
-    have = r.where("srr < 'SRR00000090'").select("bioproject_id").distinct().withColumn("here", F.lit(1))
+    have = r.where("md5(bioproject_id) < '8'").select("bioproject_id").distinct().withColumn("here", F.lit(1))
     x = r.select("bioproject_id").distinct().join(have, "bioproject_id", "left")
     return x.agg(F.count(F.lit(1)).alias("n_all"), F.count("here").alias("n_present"), F.round(100.0 * F.count("here") / F.count(F.lit(1)), 6).alias("percent"))
 
@@ -347,19 +347,19 @@ def w16(spark, sf):
     return by.orderBy(F.desc("n"), "first").limit(1)
 
 
-@query("e03_set_differences", f"with {D.RUNS}, a as (select distinct bioproject_id from runs where srr < 'SRR00000080'), b as (select distinct bioproject_id from runs where srr > 'SRR00000060' and srr < 'SRR00000150') select 'both' as side, count(*) as n from (select * from a intersect select * from b) union all select 'left', count(*) from (select * from a except select * from b) union all select 'right', count(*) from (select * from b except select * from a)")
+@query("e03_set_differences", f"with {D.RUNS}, a as (select distinct bioproject_id from runs where md5(bioproject_id) < '9'), b as (select distinct bioproject_id from runs where md5(bioproject_id) > '5' and md5(bioproject_id) < 'd') select 'both' as side, count(*) as n from (select * from a intersect select * from b) union all select 'left', count(*) from (select * from a except select * from b) union all select 'right', count(*) from (select * from b except select * from a)")
 def e03(spark, sf):
     ids = D.runs(spark, sf)
-    a = ids.where("srr < 'SRR00000080'").select("bioproject_id")
-    b = ids.where("srr > 'SRR00000060' and srr < 'SRR00000150'").select("bioproject_id")
+    a = ids.where("md5(bioproject_id) < '9'").select("bioproject_id")
+    b = ids.where("md5(bioproject_id) > '5' and md5(bioproject_id) < 'd'").select("bioproject_id")
     n = lambda x, side: x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(side).alias("side"), "n")
     return n(a.intersect(b), "both").unionByName(n(a.subtract(b), "left")).unionByName(n(b.subtract(a), "right"))
 
 
-@query("e04_union_first_wins", f"with {D.RUNS} select srr, 1 as source from runs where srr < 'SRR00003000' union all select srr, 2 from runs where srr >= 'SRR00003000' and srr < 'SRR00005000'")
+@query("e04_union_first_wins", f"with {D.RUNS} select srr, 1 as source from runs where md5(srr) < '6' union all select srr, 2 from runs where md5(srr) >= '6' and md5(srr) < 'c'")
 def e04(spark, sf):
     r = D.runs(spark, sf).select("srr")
-    rows = r.where("srr < 'SRR00003000'").withColumn("source", F.lit(1)).unionByName(r.where("srr < 'SRR00005000'").withColumn("source", F.lit(2)))
+    rows = r.where("md5(srr) < '6'").withColumn("source", F.lit(1)).unionByName(r.where("md5(srr) < 'c'").withColumn("source", F.lit(2)))
     return M.first_row(rows, "srr", ["source"])
 
 

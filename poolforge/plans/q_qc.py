@@ -69,7 +69,7 @@ def q09(spark, sf):
     return Q.flags(_inserts(spark, sf), report, G.strands(_mixed(spark, sf), D.FIVE, D.THREE), P.adapter_hits(reads), n_in)
 
 
-_TOPK = f"""with {D.INSERTS}, t as (select round, seq from (select *, row_number() over (partition by round order by reads desc, seq) as k from icounts) where k <= 200),
+_TOPK = f"""with {D.INSERTS}, t as (select round, seq from (select *, row_number() over (partition by round order by reads desc, seq) as k from icounts) where k <= 10000),
 raw as (select round, substr(seq, cast(i as integer), 6) as k from t, unnest(range(1, 26)) as u(i)), sets as (select distinct round, least(k, {_RC.format('k')}) as kmer from raw)"""
 _JACC = """, sz as (select round, count(*) as n from sets group by round), b as (select x.round as a, y.round as b, count(*) as common from sets x join sets y on x.kmer = y.kmer and x.round < y.round group by all),
 d as (select x.round as a, y.round as b, case when x.n + y.n - coalesce(common, 0) = 0 then 0 else 1 - coalesce(common, 0) / (x.n + y.n - coalesce(common, 0)) end as distance from sz x join sz y on x.round < y.round left join b on b.a = x.round and b.b = y.round)"""
@@ -77,17 +77,17 @@ d as (select x.round as a, y.round as b, case when x.n + y.n - coalesce(common,
 
 @query("e01_kmer_sets", _TOPK + " select round, kmer from sets")
 def e01(spark, sf):
-    return Q.kmer_sets(_inserts(spark, sf), 6, 200)
+    return Q.kmer_sets(_inserts(spark, sf), 6)
 
 
 @query("e02_jaccard_distance", _TOPK + _JACC + " select a, b, distance from d")
 def e02(spark, sf):
-    return Q.jaccard_distances(Q.kmer_sets(_inserts(spark, sf), 6, 200))
+    return Q.jaccard_distances(Q.kmer_sets(_inserts(spark, sf), 6))
 
 
 @query("q10_kmer_consistency", _TOPK + _JACC + ", tr as (select f.distance as far, n.distance as near from d f join d n on f.a = n.a and n.b = n.a + 1 and f.b >= f.a + 2) select count(*) as n_triples, count(*) filter (far < near * (1 - 0.1::double)) as n_broken, count(*) filter (far < near * (1 - 0.1::double)) = 0 as monotone from tr")
 def q10(spark, sf):
-    return Q.monotone(Q.jaccard_distances(Q.kmer_sets(_inserts(spark, sf), 6, 200)))
+    return Q.monotone(Q.jaccard_distances(Q.kmer_sets(_inserts(spark, sf), 6)))
 
 
 @query("j18_round_pairs", f"with {D.READS}, r as (select distinct round from reads) select a.round as a, b.round as b from r a join r b on a.round < b.round")

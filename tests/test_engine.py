@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gzip
 import random
+import re
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,11 +64,73 @@ def test_profile_sums_equal_reads(pool):
     assert {r.n for r in profiles.base_counts(c, 20).groupBy("round", "pos").agg(F.sum("n").alias("n")).collect()} == {1000}
 
 
-def test_boundary_rules():
-    assert inference.boundary([0.99] * 10) == 0
-    assert inference.boundary([0.99] * 20 + [0.3] * 10) == 20
-    assert inference.boundary([0.99] * 20 + [0.84, 0.80] + [0.5] * 10) == 20
-    assert inference.boundary([0.6] * 30) == 0
+def plain_boundary(supports):
+    """The rule in plain Python."""
+    n = len(supports)
+    if n < 14:
+        return 0
+    end = n
+    for i in range(n - 1):
+        two = max(supports[i : i + 2])
+        base = statistics.median(supports[i - 14 : i]) if i >= 14 else 0
+        if two < 0.55 or (base >= 0.90 and supports[i] <= base - 0.12 and two < 0.85):
+            end = i
+            break
+    strong = sum(s >= 0.75 for s in supports[:end])
+    return end if end >= 14 and strong >= 0.8 * end else 0
+
+
+def test_boundary_rules(spark):
+    profiles_ = [[0.99] * 10, [0.99] * 20 + [0.3] * 10, [0.99] * 20 + [0.84, 0.80] + [0.5] * 10, [0.6] * 30]
+    assert [plain_boundary(p) for p in profiles_] == [0, 20, 20, 0]
+    rng = random.Random(6)
+    profiles_ += [[rng.choice([0.5, 0.56, 0.7, 0.76, 0.84, 0.91, 0.97]) for _ in range(rng.randint(1, 40))] for _ in range(60)]
+    profiles_ += [[rng.choice([0.91, 0.97, 0.99]) for _ in range(rng.randint(10, 30))] + [rng.choice([0.3, 0.6, 0.8, 0.86]) for _ in range(rng.randint(0, 20))] for _ in range(60)]
+    rows = [(k, i, s) for k, p in enumerate(profiles_) for i, s in enumerate(p)]
+    found = {r["round"]: r.boundary for r in inference.flank_boundaries(table(spark, rows, "round int, pos int, support double")).collect()}
+    assert found == {k: plain_boundary(p) for k, p in enumerate(profiles_)}
+
+
+def test_strict_three_prime_start_equals_plain_search(spark):
+    from poolforge.operators import trimming
+
+    rng = random.Random(9)
+    primer = "CCATGCATGCATGCATGCAT"
+
+    def plain(read):
+        best = None
+        for i in range(len(read)):
+            part = read[i : i + len(primer)]
+            errors = sum(a != b for a, b in zip(part, primer, strict=False))
+            if len(part) >= 3 and errors <= int(0.1 * len(part)) and (i + len(primer) <= len(read) or i + len(part) == len(read)):
+                rank = (errors - len(part), errors, i)
+                best = min(best, rank) if best else rank
+        return best[2] if best else -1
+
+    reads = []
+    for _ in range(300):
+        word = list(primer[: rng.choice([20, 20, 19, 12, 8, 4, 2])])
+        for _ in range(rng.randint(0, 3)):
+            word[rng.randrange(len(word))] = rng.choice("ACGT")
+        reads.append("".join(rng.choices("ACGT", k=rng.randint(0, 25))) + rng.choice(["", "CCAT", "CATG"]) + "".join(word) + ("".join(rng.choices("ACGT", k=rng.randint(0, 6))) if rng.random() < 0.5 else ""))
+    df = table(spark, list(enumerate(reads)), "id int, seq string")
+    found = {r.id: r.at for r in df.select("id", trimming._three_start(F.col("seq"), primer, 0.1).alias("at")).collect()}
+    assert found == {i: plain(r) for i, r in enumerate(reads)}
+    longer = {r.id: r.at for r in df.select("id", trimming._three_start(F.col("seq"), primer + primer[::-1], 0.1).alias("at")).collect()}
+    assert set(longer) == set(found)
+
+
+def test_near_pattern_means_the_same():
+    from poolforge.functions.sequences import near_pattern, one_off_pattern
+
+    rng = random.Random(10)
+    for word in ("A", "AC", "ACG", "ACGTTGCA"):
+        for _ in range(200):
+            text = "".join(rng.choices("ACGT", k=rng.randint(0, 14)))
+            assert bool(re.search(near_pattern(word), text)) == bool(re.search(one_off_pattern(word), text))
+
+
+def test_outer_cut():
     assert inference.outer_cut([0.75, 0.90, 0.90, 0.89, 0.48, 0.61, 0.90, 0.91, 0.98, 0.77]) == 6
     assert inference.outer_cut([0.99] * 5) == 0
 
