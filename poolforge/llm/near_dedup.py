@@ -204,6 +204,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     found = stored(signatures(docs, shingle), "signatures")
     some = found.where(F.col("n_shingles") > 0).where(F.col("doc") < LAST)
     classes = some.groupBy("d1", "d2").agg(F.min(F.struct("doc", "row")).alias("head"), F.min("groups").alias("groups"))
+    # A number by an expression: classes are dealt for joins by an exchange of their own, so that the rows of a large class can be split.
+    apart = F.bitwise_not(F.bitwise_not("d1")).alias("d1")
     vertices = classes.select(F.col("head.doc").alias("doc"), F.col("head.row").alias("row"), "groups")
     table = stored(buckets(vertices), "buckets")
     needed = table.select("row").distinct()
@@ -214,7 +216,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     nearest = table.join(heads, "key").groupBy("doc", "row").agg(F.min("head").alias("head"))
     pairs = nearest.where(F.col("head.row") != F.col("row")).select(F.col("head.doc").alias("u"), F.col("head.row").alias("urow"), F.col("doc").alias("v"), F.col("row").alias("vrow"))
     # Rows with different sets under one id are one vertex, so their classes are linked without a test.
-    same = classes.join(some.select("d1", "d2", "doc"), ["d1", "d2"]).where(F.col("doc") != F.col("head.doc")).select(F.col("head.doc").alias("u"), F.col("doc").alias("v")).distinct()
+    same = classes.select(apart, "d2", "head").join(some.select("d1", "d2", "doc"), ["d1", "d2"]).where(F.col("doc") != F.col("head.doc")).select(F.col("head.doc").alias("u"), F.col("doc").alias("v")).distinct()
     repeated = some.groupBy("doc").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b").select(F.col("doc").alias("v"))
     edges = stored(confirmed(pairs, texts, percent, shingle).unionByName(same.join(repeated, "v", "left_semi").select("u", "v")), "links")
     labels = components(edges)
@@ -224,7 +226,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     new = stored(remaining_links(open_rows, texts, percent, shingle), "links")
     labels = components(edges.unionByName(new))
     discard(table, texts, open_rows, edges, new)
-    heads = classes.select("d1", "d2", F.col("head.doc").alias("rep"))
+    heads = classes.select(apart, "d2", F.col("head.doc").alias("rep"))
     # Rows without words or id are alone, and share no key in the join.
     member = (F.col("n_shingles") > 0) & (F.col("doc") < LAST)
     rows = found.where(member).join(heads, ["d1", "d2"], "left")
