@@ -90,7 +90,7 @@ class Fingerprints:
         reach = WINDOW - GRAM + 1
         for step in (1, 2, 4, reach - 8):
             out = np.minimum(out[: len(out) - step], out[step:])
-        return out
+        return _mixed(out)  # least hashes are small; mixed again, they fill ranges and filters evenly
 
     def windows(self, low: np.ndarray, high: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.roll(low, WINDOW)[at], (self.check_roll(high, WINDOW)[at] >> np.uint64(32)).astype(np.uint32)
