@@ -125,12 +125,20 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq_text(spark: SparkSession, path: str) -> DataFrame:
-    """file, rec, seq by Spark's own text reader, for stores that only Spark reads; one gzip file is one partition."""
+    """file (its whole path), rec, seq by Spark's own text reader, for stores that only Spark reads.
+
+    A plain file may be cut into blocks: a line's number is its place in its block, plus the lines of the blocks before.
+    """
     from pyspark.sql import Window
 
-    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("id"), "value")
-    line = F.col("id") - F.min("id").over(Window.partitionBy("file"))
-    return rows.withColumn("line", line).where("line % 4 = 1").select("file", F.floor(F.col("line") / 4).alias("rec"), F.trim("value").alias("seq"))
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    rows = spark.read.text(path).select(*block, F.monotonically_increasing_id().alias("id"), "value")
+    blocks = rows.groupBy("file", "start").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "start", "low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    line = F.col("id") - F.col("low") + F.col("before")
+    lines = rows.join(blocks, ["file", "start"]).withColumn("line", line)
+    return lines.where("line % 4 = 1").select("file", F.floor(F.col("line") / 4).alias("rec"), F.trim("value").alias("seq"))
 
 
 def first_records(reads: DataFrame, n: int) -> DataFrame:
@@ -143,8 +151,9 @@ def mate_and_run(file) -> tuple:
 
 
 def paired(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Records of two files side by side; a record without mate is an error."""
-    a, b = first.select("rec", "seq"), second.select("rec", F.col("seq").alias("mate_seq"))
-    both = a.join(b, "rec", "full")
+    """Records of the two files of a run side by side, by srr and record where both have srr; one without mate is an error."""
+    keys = [c for c in ("srr", "rec") if c in first.columns and c in second.columns]
+    a, b = first.select(*keys, "seq"), second.select(*keys, F.col("seq").alias("mate_seq"))
+    both = a.join(b, keys, "full")
     bad = F.raise_error(F.lit("the files differ in their number of records")).cast("string")
-    return both.select("rec", F.when(F.col("mate_seq").isNull(), bad).otherwise(F.col("seq")).alias("seq"), F.when(F.col("seq").isNull(), bad).otherwise(F.col("mate_seq")).alias("mate_seq"))
+    return both.select(*keys, F.when(F.col("mate_seq").isNull(), bad).otherwise(F.col("seq")).alias("seq"), F.when(F.col("seq").isNull(), bad).otherwise(F.col("mate_seq")).alias("mate_seq"))

@@ -294,3 +294,23 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("running").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(spark.table("running").collect()) == sorted(counts.unique_counts(rows).collect())
+
+
+def test_text_reader_numbers_records_across_blocks(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.fastq").write_text("".join(f"@r{i}\n{insert(i)}\n+\n{'I' * 30}\n" for i in range(2000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        found = fastq.read_fastq_text(spark, str(tmp_path / "*" / "x.fastq")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len({r.file for r in found}) == 2
+    assert sorted((r.rec, r.seq) for r in found) == sorted((i, insert(i)) for i in range(2000) for _ in range(2))
+
+
+def test_pairs_meet_within_their_run(spark):
+    first = table(spark, [("S1", 0, "A"), ("S2", 0, "C")], "srr string, rec long, seq string")
+    second = table(spark, [("S1", 0, "G"), ("S2", 0, "T")], "srr string, rec long, seq string")
+    assert {(r.srr, r.seq, r.mate_seq) for r in fastq.paired(first, second).collect()} == {("S1", "A", "G"), ("S2", "C", "T")}
