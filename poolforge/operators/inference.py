@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import ADAPTERS, PROBE, near_prefix, near_suffix, normalised, rc
 from . import profiles, signals
-from .counts import counted, unique_counts
+from .counts import counted, top, unique_counts
 
 # Calibration constants of the rules below.
 MIN_LEN, MAX_LEN, MIN_READS, CONFIDENCE = 14, 60, 500, 0.75
@@ -111,6 +111,16 @@ def detect_flanks(reads: DataFrame) -> dict[int, dict]:
     return found
 
 
+def detect_from_counts(counts: DataFrame, top_n: int | None = None) -> dict[int, dict]:
+    """detect_flanks of the unique sequences of counts (round, seq, reads), each weighing one.
+
+    top_n: only so many of the most frequent of each round. A round with fewer than MIN_READS of them is left out.
+    """
+    chosen = (top(counts, top_n) if top_n else counts).select("round", "seq", F.lit(1).cast("long").alias("reads"))
+    enough = chosen.groupBy("round").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_READS)
+    return detect_flanks(chosen.join(enough.select("round"), "round", "left_semi"))
+
+
 def shared_constant(reads: DataFrame, primer: str, from_end: bool = False) -> tuple[str, dict[int, int]]:
     """The part of a 5' flank (or a 3' one, from_end) that all rounds share, and its offset from the edge in each.
 

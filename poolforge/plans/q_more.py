@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import counts as C
+from ..operators import extraction as X
 from ..operators import metadata as M
 from ..operators import qc as Q
 from ..operators import scoring as S
@@ -36,12 +37,12 @@ def t12(spark, sf):
 
 @query("t17_countable_mode", f"with {_ROWS} select accession, coalesce(extraction_mode, '') in ('BOTH_PRIMERS_SINGLE_READ', 'FIVE_PRIME_ONLY', 'THREE_PRIME_ONLY') as countable from rows_")
 def t17(spark, sf):
-    return _rows(spark, sf).select("accession", F.coalesce("extraction_mode", F.lit("")).isin("BOTH_PRIMERS_SINGLE_READ", "FIVE_PRIME_ONLY", "THREE_PRIME_ONLY").alias("countable"))
+    return _rows(spark, sf).select("accession", X.countable(F.col("extraction_mode")).alias("countable"))
 
 
 @query("t08_refusal", f"with {_ROWS} select accession, not has_report or status = 'UNABLE_TO_INFER' or extraction_mode = 'UNABLE_TO_EXTRACT' as refused from rows_")
 def t08(spark, sf):
-    return _rows(spark, sf).select("accession", (~F.col("has_report") | F.coalesce((F.col("status") == "UNABLE_TO_INFER") | (F.col("extraction_mode") == "UNABLE_TO_EXTRACT"), F.lit(False))).alias("refused"))
+    return _rows(spark, sf).select("accession", (~F.col("has_report") | X.refused(F.col("status"), F.col("extraction_mode"))).alias("refused"))
 
 
 @query("j05_fetch_stats", f"with {_ROWS}, s as (select cast(o_orderkey as varchar) as accession, o_custkey as n_runs from orders where o_orderkey % 2 = 0) select r.accession, n_runs from rows_ r left join s on r.accession = s.accession")

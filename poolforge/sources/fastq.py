@@ -124,15 +124,17 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "rec", "seq")
 
 
-def read_fastq_text(spark: SparkSession, path: str) -> DataFrame:
+def read_fastq_text(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """file (its whole path), rec, seq by Spark's own text reader, for stores that only Spark reads.
 
     A plain file may be cut into blocks: a line's number is its place in its block, plus the lines of the blocks before.
+    recursive: path is a folder, whose FASTQ files at any depth are read.
     """
     from pyspark.sql import Window
 
     block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
-    rows = spark.read.text(path).select(*block, F.monotonically_increasing_id().alias("id"), "value")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.f*q*") if recursive else spark.read
+    rows = files.text(path).select(*block, F.monotonically_increasing_id().alias("id"), "value")
     blocks = rows.groupBy("file", "start").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file", "start", "low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

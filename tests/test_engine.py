@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from poolforge.functions import sequences as S
-from poolforge.operators import batch, counts, inference, metadata, profiles, qc, scoring, signals, trimming
-from poolforge.sources import fastq, tables
+from poolforge.operators import batch, counts, extraction, inference, metadata, profiles, qc, scoring, signals, trimming
+from poolforge.sources import fastq, tables, trees
 
 FIVE, THREE = "GGTAATACGACTCACTATAGGG", "CCATGCATGCATGCATGCAT"
 
@@ -314,3 +314,89 @@ def test_pairs_meet_within_their_run(spark):
     first = table(spark, [("S1", 0, "A"), ("S2", 0, "C")], "srr string, rec long, seq string")
     second = table(spark, [("S1", 0, "G"), ("S2", 0, "T")], "srr string, rec long, seq string")
     assert {(r.srr, r.seq, r.mate_seq) for r in fastq.paired(first, second).collect()} == {("S1", "A", "G"), ("S2", "C", "T")}
+
+
+def _write_round(folder, name, reads):
+    folder.mkdir(parents=True, exist_ok=True)
+    with gzip.open(folder / name, "wt") as f:
+        f.write("".join(f"@r{i}\n{s}\n+\n{'I' * len(s)}\n" for i, s in enumerate(reads)))
+
+
+def test_tree_of_rounds(spark, tmp_path):
+    for target in ("alpha", "beta", "unassigned"):
+        _write_round(tmp_path / target / "round_01", "SRR1_1.fastq.gz", ["ACGT", "ACGT", target[0].upper() * 4])
+        _write_round(tmp_path / target / "round_01", "SRR1_2.fastq.gz", ["TTTT"])
+    _write_round(tmp_path / "alpha" / "round_01", "SRR2.fastq.gz", ["ACGT"])
+    _write_round(tmp_path / "alpha" / "round_naive", "SRR3.fastq.gz", ["GGGG"])
+    counted = extraction.tree_counts(trees.read_round_tree(spark, str(tmp_path)))
+    rows = {(r.target, r.label, r["round"], r.seq): r.reads for r in counted.collect()}
+    assert rows == {("alpha", "round_01", 1, "ACGT"): 3, ("alpha", "round_01", 1, "AAAA"): 1, ("alpha", "round_naive", None, "GGGG"): 1, ("beta", "round_01", 1, "ACGT"): 2, ("beta", "round_01", 1, "BBBB"): 1}
+    stats = {(r.target, r.label): (r.n_reads, r.n_unique, r.n_singletons) for r in extraction.tree_stats(counted).collect()}
+    assert stats[("alpha", "round_01")] == (4, 2, 1)
+    assert {r.large_enough for r in trees.valid_fastq_files(spark, str(tmp_path)).collect()} == {False}
+    _write_round(tmp_path / "round_02", "SRR4.fastq.gz", ["ACGT"])
+    with pytest.raises(ValueError, match="both"):
+        trees.read_round_tree(spark, str(tmp_path))
+
+
+def test_tree_of_one_target(spark, tmp_path):
+    _write_round(tmp_path / "round_03", "SRR1.fastq.gz", ["ACGT", "", "ACGT"])
+    rows = extraction.tree_counts(trees.read_round_tree(spark, str(tmp_path))).collect()
+    assert [(r.target, r["round"], r.seq, r.reads) for r in rows] == [(None, 3, "ACGT", 2)]
+
+
+def test_merged_inputs_keep_their_order(spark):
+    parts = table(spark, [(1, f, i, f"{f}{i}") for f in ("b", "a", "c") for i in range(5)] + [(2, "a", 0, "x")], "round int, file string, rec long, seq string")
+    rows = extraction.merged_inputs(parts).where("round = 1").orderBy("rec").collect()
+    assert [r.seq for r in rows] == [f"{f}{i}" for f in "abc" for i in range(5)] and [r.rec for r in rows] == list(range(15))
+
+
+def test_extraction_follows_the_report(spark):
+    core = [insert(i) for i in range(20)]
+    reads = table(spark, [(1, FIVE + c + THREE) for c in core] + [(2, "ACGT" * 20)], "round int, seq string")
+    report = {"primer_5p": FIVE, "primer_3p": THREE, "extraction_mode": "BOTH_PRIMERS_SINGLE_READ", "status": "HIGH", "orientation": "FORWARD"}
+    done = extraction.run_extract(reads, report)
+    assert sorted(r.seq for r in done.reads.collect()) == sorted(core)
+    assert {(r["round"], r.n_in, r.n_out) for r in done.yields.collect()} == {(1, 20, 20), (2, 1, 0)}
+    turned = extraction.run_extract(trimming.reoriented(reads), {**report, "orientation": "REVERSE"})
+    assert sorted(r.seq for r in turned.reads.collect()) == sorted(core)
+    assert "refuses" in extraction.run_extract(reads, {**report, "status": "UNABLE_TO_INFER"}).skipped_reason
+    assert "pair" in extraction.run_extract(reads, {**report, "extraction_mode": "PAIRED_END_SPLIT_PRIMERS"}).skipped_reason
+    assert "unknown" in extraction.run_extract(reads, {**report, "extraction_mode": "OTHER"}).skipped_reason
+    rescued = extraction.run_extract(reads, {"status": "UNABLE_TO_INFER"}, three=THREE)
+    assert rescued.mode == "THREE_PRIME_ONLY" and sorted(r.seq for r in rescued.reads.collect()) == sorted(FIVE + c for c in core)
+
+
+def test_extraction_demultiplexes_first(spark):
+    reads = table(spark, [("ATTGT" + FIVE + insert(1) + THREE,), ("CTGAG" + FIVE + insert(2) + THREE,), ("GGGGG" + FIVE + insert(3) + THREE,)], "seq string")
+    report = {"primer_5p": FIVE, "primer_3p": THREE, "extraction_mode": "BOTH_PRIMERS_SINGLE_READ", "status": "HIGH"}
+    done = extraction.run_extract(reads, report, barcodes=[("ATTGT", 1), ("CTGAG", 2)])
+    assert {(r["round"], r.seq) for r in done.reads.collect()} == {(1, insert(1)), (2, insert(2))}
+
+
+def test_flanks_of_counts_weigh_uniques_once(spark):
+    rows = [(1, FIVE + insert(i) + THREE, 1) for i in range(600)] + [(1, "T" * 72, 100_000)] + [(2, FIVE + insert(i) + THREE, 9) for i in range(400)]
+    found = inference.detect_from_counts(table(spark, rows, "round int, seq string, reads long"))
+    assert list(found) == [1] and found[1]["five"].sequence == FIVE and found[1]["random_length"] == 30
+    assert inference.detect_from_counts(table(spark, rows, "round int, seq string, reads long"), top_n=100) == {}
+
+
+def test_batch_statuses_and_resume():
+    ran = []
+
+    def step(stage):
+        def run(name, fields):
+            ran.append((name, stage))
+            if name == "bad" and stage == "count":
+                raise ValueError("two\nlines")
+            if name == "no" and stage == "extract":
+                raise batch.Refused("status")
+            return {"required_action": "READ_MERGING_RECOMMENDED"} if name == "split" and stage == "detect" else {}
+
+        return run
+
+    steps = {s: step(s) for s in batch.STAGES}
+    rows = batch.run_accessions(["bad", "no", "split", "good"], steps, lambda name, stage: {"runs": 1} if (name, stage) == ("good", "fetch") else None)
+    assert [(r["status"], r["last_stage_completed"]) for r in rows] == [("COUNT_FAILED", "extract"), ("EXTRACT_REFUSED", "detect"), ("SKIPPED_READ_MERGING_RECOMMENDED", "extract"), ("OK", "qc")]
+    assert rows[0]["notes"] == "ValueError: two lines" and rows[3]["runs"] == 1 and ("good", "fetch") not in ran and ("split", "count") not in ran
+    assert len(batch.run_accessions(["bad", "good"], steps, stop_on_error=True)) == 1
