@@ -21,6 +21,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 
 #: Entries of a worker's memo of pieces, and of pairs; a full memo is emptied.
 PIECES, PAIRS = 300_000, 1_000_000
@@ -198,11 +199,11 @@ def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
 def round_trip_digests(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, n_tokens, ids_sha256 and decoded_sha256: texts encoded, and the ids decoded again.
 
-    The ids stay beside the decoded bytes, so no join is needed.
+    The ids stay beside the decoded bytes, so no join is needed. The digests are stored, so that texts come in small batches.
     """
     encoded = encode(docs, path, pattern, keep)
     ids = F.array_join(F.col("tokens").cast("array<string>"), ",")
     kept = [F.col(f"`{c}`") for c in keep]
     encoded = encoded.select(*kept, F.size("tokens").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), "tokens")
     both = decode(encoded, path, pattern, keep=(*keep, "n_tokens", "ids_sha256"))
-    return both.select(*kept, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return stored(both.select(*kept, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")), "digests")

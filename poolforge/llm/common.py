@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -33,14 +34,32 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+#: Rows of one Arrow batch, as one text can be very long.
+BATCH_ROWS = 512
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Bound the rows of an Arrow batch in plans that run inside; the session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: short lineage that survives lost executors."""
+    """df written as Parquet to the shared folder, in small Arrow batches, and read again: short lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}_{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with small_batches(spark):
+        writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     release(spark)

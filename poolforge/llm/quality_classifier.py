@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, stored
 
 BITS, SAMPLE, UPDATES = 18, 8_000, 20_000
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.01, 0.1
@@ -148,4 +148,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, f
     Without any labelled row every score is 0.5. Ties, repeated rows and null ids are scored row by row.
     """
     weights = fit(docs, labels, sample, folds=folds, held_out=held_out)
-    return score(docs, weights).select("doc_id", in_fold(folds, held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return stored(score(docs, weights), "quality_scores").select("doc_id", in_fold(folds, held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

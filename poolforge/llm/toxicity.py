@@ -27,7 +27,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, stored
 from .quality_classifier import in_fold, labelled_sample
 
 SAMPLE = 10_000
@@ -279,5 +279,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     Empty and null texts score the base; an empty table gives an empty result. Repeated rows, ties and null ids are scored
     row by row (a null id is in no fold's held-out part). Texts are read whole and in linear time.
     """
-    scored = score(docs, fit(docs, labels, sample, folds, held_out))
+    scored = score(docs, fit(docs, labels, sample, folds, held_out)).select("doc_id", "score")
+    scored = stored(scored, "toxicity_scores")
     return scored.select("doc_id", in_fold(folds, held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

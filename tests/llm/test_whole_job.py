@@ -66,3 +66,20 @@ def test_q01_draws_as_many_reads_as_the_smallest_round_has(spark, tmp_path):
     rows = spark.range(1200).selectExpr("id as l_orderkey", "cast(1 + id % 2 as int) as l_linenumber", "id div 2 as l_partkey", "1L as l_suppkey")
     rows.write.parquet(str(tmp_path / "lineitem.parquet"))
     assert {r.round: r.uniques for r in q_qc.q01(spark, str(tmp_path)).collect()} == {1: 600, 2: 600}
+
+
+def test_stored_plans_run_in_small_batches_and_give_the_setting_back(spark):
+    from poolforge.llm.common import BATCH_ROWS, stored
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    found = [r.n for r in stored(spark.range(0, 2_000, 1, 1).mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert sum(found) == 2_000 and max(found) <= BATCH_ROWS
+    assert spark.conf.get(name) == before
