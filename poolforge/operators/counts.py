@@ -44,6 +44,29 @@ def entropy(share: Column) -> Column:
     return -F.sum(F.when(share > 0, share * F.log2(share)).otherwise(0.0))
 
 
+def cached_stats(counts: DataFrame) -> DataFrame:
+    """Statistics of counts that were written before: as round_stats(), but without entropy (NaN) or mark of a trim (null)."""
+    return (
+        counts.groupBy("round")
+        .agg(
+            F.sum("reads").alias("n_reads"),
+            F.count(F.lit(1)).alias("n_unique"),
+            F.max("reads").alias("top_reads"),
+            F.count_if(F.col("reads") == 1).alias("n_singletons"),
+            F.count_if(F.col("reads") >= 10).alias("n_ge_10"),
+            F.count_if(F.col("reads") >= 100).alias("n_ge_100"),
+        )
+        .select(
+            "*",
+            (F.col("top_reads") * 1e6 / F.col("n_reads")).alias("top_rpm"),
+            (F.col("top_reads") / F.col("n_reads")).alias("top1_share"),
+            (F.col("n_singletons") / F.col("n_unique")).alias("singleton_share"),
+            F.lit(float("nan")).alias("shannon_bits"),
+            F.lit(None).cast("boolean").alias("trimmed"),
+        )
+    )
+
+
 def round_stats(counts: DataFrame) -> DataFrame:
     """One row for each round with the count statistics."""
     share = F.col("reads") / F.col("total")

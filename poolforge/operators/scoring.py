@@ -111,6 +111,36 @@ def agreement(one: DataFrame, two: DataFrame) -> DataFrame:
     return by.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col("field")).alias("field"), "n", *names, F.try_divide("agree", real).alias("substantive_rate"))
 
 
+def in_one_arm(one: DataFrame, two: DataFrame) -> DataFrame:
+    """accession and arm (one or two) of the accessions that only one arm has."""
+    a, b = one.select("accession").distinct(), two.select("accession").distinct()
+    return a.join(b, "accession", "left_anti").withColumn("arm", F.lit("one")).unionByName(b.join(a, "accession", "left_anti").withColumn("arm", F.lit("two")))
+
+
+def verified(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The verified rows, and the accessions of the others; a null mark is none."""
+    mark = F.coalesce("verified", F.lit(False))
+    return rows.where(mark), rows.where(~mark).select("accession")
+
+
+def metric_arms(rows: DataFrame) -> DataFrame:
+    """Rows, reports and calls of high confidence by read state, and over all as arm all."""
+    parts = (F.count(F.lit(1)).alias("n"), F.count_if("has_report").alias("n_reports"), F.count_if(F.col("status") == "HIGH").alias("n_high"), F.grouping("read_state").alias("g"))
+    return rows.rollup("read_state").agg(*parts).select(F.when(F.col("g") == 1, "all").otherwise(F.col("read_state")).alias("arm"), "n", "n_reports", "n_high")
+
+
+def corpus_audit(rows: DataFrame) -> DataFrame:
+    """One row with the three denominators (sampled, with report, with a usable one) and the share of refusals among reports."""
+    refusal = F.col("status") == "UNABLE_TO_INFER"
+    return rows.agg(F.count(F.lit(1)).alias("n_sampled"), F.count_if("has_report").alias("n_with_report"), F.count_if(F.col("has_report") & ~refusal).alias("n_with_qc"), (F.count_if(refusal) / F.count_if("has_report")).alias("refused_share"))
+
+
+def available_files(expected: DataFrame, available: DataFrame) -> DataFrame:
+    """srr, n_expected and n_available of the runs' expected files (srr, file), by the names that are there (file)."""
+    there = available.select("file", F.lit(1).alias("here")).distinct()
+    return expected.join(there, "file", "left").groupBy("srr").agg(F.count(F.lit(1)).alias("n_expected"), F.count("here").alias("n_available"))
+
+
 def three_way(cells: DataFrame) -> DataFrame:
     """bucket and n of cells with values a, b and c."""
     values = F.array_distinct(F.filter(F.array("a", "b", "c"), lambda x: x.isNotNull()))

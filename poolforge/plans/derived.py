@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +46,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder in the cluster's shared one, or a temporary one where a local session names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(shared or tempfile.mkdtemp(prefix='shared_')).removeprefix('file://').rstrip('/')}/{tag}_{uuid.uuid4().hex}"
+    os.makedirs(path)
+    return path
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """round, rec, seq: seven rounds whose pool narrows, with a tag of its own before each round's flank."""
     n = F.col("l_linenumber")

@@ -87,21 +87,17 @@ def j23(spark, sf):
     names = F.explode(F.array(F.concat("srr", F.lit("_1.fastq.gz")), F.concat("srr", F.lit("_2.fastq.gz"))))
     expected = D.runs(spark, sf).select("srr", names.alias("file"))
     second = F.col("file").endswith("_2.fastq.gz") & (F.substring("srr", 4, 20).cast("long") % 3 == 0)
-    available = expected.where(~second).select("file", F.lit(1).alias("here"))
-    return expected.join(available, "file", "left").groupBy("srr").agg(F.count(F.lit(1)).alias("n_expected"), F.count("here").alias("n_available"))
+    return S.available_files(expected, expected.where(~second))
 
 
 @query("a47_metric_arms", f"with {_ROWS} select read_state as arm, count(*) as n, count(*) filter (has_report) as n_reports, count(*) filter (status = 'HIGH') as n_high from rows_ group by read_state union all select 'all', count(*), count(*) filter (has_report), count(*) filter (status = 'HIGH') from rows_")
 def a47(spark, sf):
-    rows = _rows(spark, sf)
-    aggs = (F.count(F.lit(1)).alias("n"), F.count_if("has_report").alias("n_reports"), F.count_if(F.col("status") == "HIGH").alias("n_high"))
-    return rows.groupBy(F.col("read_state").alias("arm")).agg(*aggs).unionByName(rows.agg(*aggs).select(F.lit("all").alias("arm"), "n", "n_reports", "n_high"))
+    return S.metric_arms(_rows(spark, sf))
 
 
 @query("a49_corpus_audit", f"with {_ROWS} select count(*) as n_sampled, count(*) filter (has_report) as n_with_report, count(*) filter (has_report and status <> 'UNABLE_TO_INFER') as n_with_qc, count(*) filter (status = 'UNABLE_TO_INFER') / count(*) filter (has_report) as refused_share from rows_")
 def a49(spark, sf):
-    refused = F.col("status") == "UNABLE_TO_INFER"
-    return _rows(spark, sf).agg(F.count(F.lit(1)).alias("n_sampled"), F.count_if("has_report").alias("n_with_report"), F.count_if(F.col("has_report") & ~refused).alias("n_with_qc"), (F.count_if(refused) / F.count_if("has_report")).alias("refused_share"))
+    return S.corpus_audit(_rows(spark, sf))
 
 
 @query("a50_scorecard", f"with {_ROWS}, o(status, place) as (values ('HIGH', 1), ('MEDIUM', 2), ('LOW', 3), ('UNABLE_TO_INFER', 4), ('NO_REPORT', 5)), c as (select coalesce(status, 'NO_REPORT') as status, count(*) as n from rows_ group by 1) select o.status, place, coalesce(n, 0) as n from o left join c on o.status = c.status")

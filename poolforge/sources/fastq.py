@@ -24,6 +24,7 @@ class FilePartition(InputPartition):
 
 
 def _files(path: str, endings: tuple[str, ...]) -> list[str]:
+    path = path.removeprefix("file://")
     found = sorted(glob.glob(os.path.join(path, "**", "*"), recursive=True)) if os.path.isdir(path) else sorted(glob.glob(path))
     return [f for f in found if os.path.isfile(f) and (not os.path.isdir(path) or f.removesuffix(".gz").endswith(endings))]
 
@@ -101,9 +102,27 @@ class FastaSource(DataSource):
         return _Reader(self.options, (".fasta", ".fa"), lambda p: fasta_records(p, keep))
 
 
+def sequence_records(path: str) -> Iterator[tuple[str]]:
+    """Sequences of a file, empty ones too; FASTA if its first character is >, else FASTQ."""
+    records = fasta_records(path, keep_empty=True) if next(_lines(path), "").startswith(">") else fastq_records(path)
+    return ((r[1],) for r in records)
+
+
+class SequenceSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "sequences"
+
+    def schema(self) -> str:
+        return "file string, rec bigint, seq string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(self.options, (".fastq", ".fq", ".fasta", ".fa"), sequence_records)
+
+
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(FastqSource)
-    spark.dataSource.register(FastaSource)
+    for source in (FastqSource, FastaSource, SequenceSource):
+        spark.dataSource.register(source)
 
 
 def read_fastq(spark: SparkSession, path: str, mode: str = "failfast", skip_empty: bool = False) -> DataFrame:
@@ -118,10 +137,21 @@ def read_fasta(spark: SparkSession, path: str, keep_empty: bool = False) -> Data
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """file, rec, seq of a FASTQ or FASTA file, whichever its first character says."""
-    first = next(_lines(path), "")
-    rows = read_fasta(spark, path, keep_empty=True) if first.startswith(">") else read_fastq(spark, path)
-    return rows.select("file", "rec", "seq")
+    """file, rec, seq of FASTQ or FASTA files, each as its own first character says."""
+    register(spark)
+    return spark.read.format("sequences").option("path", path).load()
+
+
+def write_fastq(reads: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Records (name, seq, qual) as a folder of FASTQ files, one a partition, in the order of its rows."""
+    record = F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), "qual")
+    reads.select(record.alias("value")).write.option("compression", compression).text(path)
+
+
+def write_fasta(reads: DataFrame, path: str, width: int = 80, compression: str = "none") -> None:
+    """Records (name, seq) as a folder of FASTA files with lines of at most width letters."""
+    lines = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")
+    reads.select(F.concat(F.lit(">"), "name", F.lit("\n"), lines).alias("value")).write.option("compression", compression).text(path)
 
 
 def read_fastq_text(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
@@ -152,6 +182,20 @@ def mate_and_run(file) -> tuple:
     return F.regexp_extract(file, r"^(.*?)(?:_([12]))?\.f(?:ast)?q(?:\.gz)?$", 1).alias("srr"), F.coalesce(F.nullif(F.regexp_extract(file, r"_([12])\.f(?:ast)?q(?:\.gz)?$", 1), F.lit("")).cast("tinyint"), F.lit(1)).alias("mate")
 
 
+def first_reads(files: DataFrame, suffix: str = ".fastq.gz") -> DataFrame:
+    """file and mate_file of the files that are no second reads; mate_file is null where no second file of the run is listed."""
+    ones = files.where(~F.col("file").endswith("_2" + suffix)).select("file")
+    stem = F.when(F.col("file").endswith("_1" + suffix), F.expr(f"left(file, length(file) - {len(suffix) + 2})"))
+    seconds = files.where(F.col("file").endswith("_2" + suffix)).select(F.col("file").alias("mate_file")).distinct()
+    return ones.withColumn("__mate", F.concat(stem, F.lit("_2" + suffix))).join(seconds, F.col("__mate") == F.col("mate_file"), "left").select("file", "mate_file")
+
+
+def files_of_runs(files: DataFrame, runs: DataFrame) -> DataFrame:
+    """srr and file of the runs' files by their whole name, so that no run takes those of one whose name it begins."""
+    named = files.select("file", mate_and_run(F.col("file"))[0]).where("srr <> ''")
+    return runs.select("srr").distinct().join(named, "srr").select("srr", "file")
+
+
 def paired(first: DataFrame, second: DataFrame) -> DataFrame:
     """Records of the two files of a run side by side, by srr and record where both have srr; one without mate is an error."""
     keys = [c for c in ("srr", "rec") if c in first.columns and c in second.columns]

@@ -5,7 +5,6 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +18,14 @@ def read_tsv(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     return spark.read.option("header", True).option("sep", sep).option("nullValue", "\u0000").option("emptyValue", "").csv(path).na.fill("")
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of JSON files that hold one array or one object each."""
+    return spark.read.option("multiLine", True).json(path)
+
+
 def read_or_empty(spark: SparkSession, path: str, columns: list[str], sep: str = ",") -> DataFrame:
-    if not os.path.exists(path):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
         return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
     return read_tsv(spark, path, sep)
 
@@ -64,6 +69,12 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(rnd.alias("round"), F.col(name(SEQUENCE_NAMES)).alias("seq"), F.col(name(READS_NAMES)).cast("long").alias("reads"))
 
 
+def round_map_of(files: DataFrame) -> DataFrame:
+    """file (base name) and round of files (file: a path) that lie under round_NN folders; others are left out."""
+    rnd = F.regexp_extract("file", r"round_([0-9]+)/[^/]+$", 1).try_cast("int")
+    return files.select(F.regexp_extract("file", r"([^/]+)$", 1).alias("file"), rnd.alias("round")).where("round is not null")
+
+
 def write_counts(counts: DataFrame, path: str) -> bool:
     """Counts by round as zstd Parquet; nothing is written for no reads."""
     if counts.limit(1).count() == 0:
