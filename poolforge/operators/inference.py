@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import ADAPTERS, PROBE, near_prefix, near_suffix, normalised, rc
+from ..functions.sequences import ADAPTERS, PROBE, near_prefix, near_suffix, normalised, rc, starts_with_adapter
 from . import profiles, signals
 from .counts import counted, top, unique_counts
 
@@ -214,6 +214,23 @@ def classified(five: Column, three: Column, sharp: Column, split: Column, confid
     return F.struct(*parts, F.when(parts[0] == refuse[0], "UNABLE_TO_INFER").otherwise(status(confidence, has_rounds)).alias("status"))
 
 
+def without_adapters(primers: DataFrame) -> DataFrame:
+    """primers (primer_5p, primer_3p) with those null that begin as a sequencing adapter does, and adapter_clean."""
+    hit = {c: F.coalesce(starts_with_adapter(F.col(c)), F.lit(False)) for c in ("primer_5p", "primer_3p")}
+    clean = ~(hit["primer_5p"] | hit["primer_3p"])
+    return primers.withColumns({"adapter_clean": clean, **{c: F.when(~h, F.col(c)) for c, h in hit.items()}})
+
+
+def unable_report(spark, reason: str, read_source: str = "RAW", seed: int = 0) -> DataFrame:
+    """The report of a pool from which nothing can be inferred: one row that says why."""
+    # The fields of a refusal.
+    fixed = {"primer_5p": None, "primer_3p": None, "extraction_mode": "UNABLE_TO_EXTRACT", "full_insert": False, "required_action": "MANUAL_PRIMERS_REQUIRED", "orientation": "FORWARD", "status": "UNABLE_TO_INFER"}
+    rates = dict.fromkeys(("n_length_confidence", "match_rate_5p", "match_rate_3p", "pos_5p", "pos_3p", "read_fraction", "confidence"), 0.0)
+    row = {**fixed, **rates, "n_length": None, "read_source": read_source, "sampling_seed": seed, "failure_reason": reason}
+    types = {**dict.fromkeys(fixed, "string"), "full_insert": "boolean", **dict.fromkeys(rates, "double"), "n_length": "int", "read_source": "string", "sampling_seed": "int", "failure_reason": "string"}
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {types[k]}" for k in row))
+
+
 def is_adapter(primer: str) -> bool:
     probes = {x[:PROBE] for a in ADAPTERS.values() for x in (a, rc(a))}
     return primer.upper()[:PROBE] in probes

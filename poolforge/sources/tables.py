@@ -109,8 +109,8 @@ def write_json(row: dict, path: str) -> str:
     """One record as JSON with a final line feed, in field order, maps by key (numbers by value); its SHA-256."""
     order = lambda k: (0, int(k), "") if str(k).lstrip("-").isdigit() else (1, 0, str(k))
     fixed = {k: {str(x): v[x] for x in sorted(v, key=order)} if isinstance(v, dict) else v for k, v in row.items()}
-    text = json.dumps(fixed, indent=2) + "\n"
-    with open(path, "w") as f:
+    text = json.dumps(fixed, indent=2, ensure_ascii=False) + "\n"
+    with open(path, "w", encoding="utf-8") as f:
         f.write(text)
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -139,12 +139,3 @@ def write_tsv(rows: DataFrame, path: str, columns: list[str] | None = None, orde
         f.write("\t".join(rows.columns) + "\n")
         for r in rows.select(*clean).toLocalIterator():
             f.write("\t".join(r) + "\n")
-
-
-def write_flags(flags: DataFrame, path: str) -> None:
-    """Flags as YAML, by name."""
-    with open(path, "w") as f:
-        rows = flags.orderBy("name").collect()
-        f.write("flags:\n" if rows else "flags: []\n")
-        for r in rows:
-            f.write(f"- name: {r.name}\n  severity: {r.severity}\n")
