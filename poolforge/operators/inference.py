@@ -41,6 +41,25 @@ def support_flags(consensus: DataFrame, *keys: str) -> DataFrame:
     return s.withColumns({"cliff": F.coalesce(cliff, F.lit(False)), "low": low}).drop("next", "base")
 
 
+def support_cliffs(consensus: DataFrame) -> DataFrame:
+    """round and cliff: the first position whose support falls well below the median of the MIN_LEN positions before it."""
+    before = Window.partitionBy("round").orderBy("pos").rowsBetween(-MIN_LEN, -1)
+    s = consensus.withColumn("base", F.percentile("support", F.lit(0.5)).over(before))
+    falls = (F.col("pos") >= MIN_LEN) & (F.col("base") >= CLIFF_BASELINE) & (F.col("support") <= F.col("base") - CLIFF_DROP)
+    return s.where(falls).groupBy("round").agg(F.min("pos").alias("cliff"))
+
+
+def floor_runs(consensus: DataFrame) -> DataFrame:
+    """round and floor_at: the first of two positions in a row whose support lies below the floor."""
+    s = consensus.withColumn("next", F.lead("support").over(Window.partitionBy("round").orderBy("pos")))
+    return s.where((F.col("support") < FLOOR) & (F.col("next") < FLOOR)).groupBy("round").agg(F.min("pos").alias("floor_at"))
+
+
+def strong_shares(consensus: DataFrame, length: int) -> DataFrame:
+    """round and strong: the share of the first positions with the support of a called flank."""
+    return consensus.where(F.col("pos") < length).groupBy("round").agg(F.avg((F.col("support") >= CONFIDENCE).cast("double")).alias("strong"))
+
+
 def flank_boundaries(consensus: DataFrame, *keys: str) -> DataFrame:
     """keys (``round`` unless given) and boundary: the length of the constant flank that starts a support profile, 0 for none."""
     keys = keys or ("round",)

@@ -85,25 +85,17 @@ def x01t(spark, sf):
     f"with {D.COUNTS}{_HEAD.format(t='counts', k=60)}{_CONS}, s as (select round, pos, support, quantile_cont(support, 0.5) over (partition by round order by pos rows between 14 preceding and 1 preceding) as base from cons) select round, min(pos) as cliff from s where pos >= 14 and base >= 0.90 and support <= base - 0.12::double group by round",
 )
 def w05(spark, sf):
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("round").orderBy("pos").rowsBetween(-14, -1)
-    s = P.consensus(P.base_counts(C.unique_counts(D.reads(spark, sf)), 60)).withColumn("base", F.percentile("support", F.lit(0.5)).over(before))
-    return s.where((F.col("pos") >= 14) & (F.col("base") >= 0.90) & (F.col("support") <= F.col("base") - 0.12)).groupBy("round").agg(F.min("pos").alias("cliff"))
+    return I.support_cliffs(P.consensus(P.base_counts(C.unique_counts(D.reads(spark, sf)), 60)))
 
 
 @query("w06_floor_run", f"with {D.COUNTS}{_HEAD.format(t='counts', k=60)}{_CONS}, s as (select round, pos, support, lead(support) over (partition by round order by pos) as nxt from cons) select round, min(pos) as floor_at from s where support < 0.55 and nxt < 0.55 group by round")
 def w06(spark, sf):
-    from pyspark.sql import Window
-
-    s = P.consensus(P.base_counts(C.unique_counts(D.reads(spark, sf)), 60)).withColumn("nxt", F.lead("support").over(Window.partitionBy("round").orderBy("pos")))
-    return s.where((F.col("support") < 0.55) & (F.col("nxt") < 0.55)).groupBy("round").agg(F.min("pos").alias("floor_at"))
+    return I.floor_runs(P.consensus(P.base_counts(C.unique_counts(D.reads(spark, sf)), 60)))
 
 
 @query("w07_strong_share", f"with {D.COUNTS}{_HEAD.format(t='counts', k=60)}{_CONS} select round, avg(case when support >= 0.75 then 1.0::double else 0 end) as strong from cons where pos < 26 group by round")
 def w07(spark, sf):
-    s = P.consensus(P.base_counts(C.unique_counts(D.reads(spark, sf)), 60)).where("pos < 26")
-    return s.groupBy("round").agg(F.avg((F.col("support") >= 0.75).cast("double")).alias("strong"))
+    return I.strong_shares(P.consensus(P.base_counts(C.unique_counts(D.reads(spark, sf)), 60)), 26)
 
 
 @query("x02_flanks")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from ..operators import inference as I
 from ..operators import metadata as M
 from ..operators import signals as G
 from ..registry import query
+from ..sources import releases
 from ..sources import reports as R
 from ..sources import tables as T
 from . import derived as D
@@ -153,3 +155,38 @@ def x07(spark, sf):
 def x16(spark, sf):
     n = D.table(spark, sf, "region").count()
     return I.unable_report(spark, f"too few reads: {n}").select("extraction_mode", "status", "required_action", "confidence", "failure_reason", F.lit(n).cast("long").alias("n"))
+
+
+@query("s53_trim_baseline", f"with {D.READS} select round, count(*) as n_in, count(*) filter (length(seq) > 76) as n_out from reads group by round")
+def s53(spark, sf):
+    path = D.scratch(spark, "s53") + "/trim_reports.json"
+    by = D.reads(spark, sf).groupBy("round", (F.col("rec") % 3).alias("input")).agg(F.count(F.lit(1)).alias("n_in"), F.count_if(F.length("seq") > 76).alias("n_out"))
+    with open(path, "w") as f:
+        json.dump([{"argv": ["trim"], "output_paths": [f"out/round_{r['round']:02d}/a.fasta.gz"], "n_in": r.n_in, "n_out": r.n_out, "rc": 0} for r in by.collect()], f)
+    return T.trim_totals(T.read_trim_reports(spark, path))
+
+
+@query("b08_release_comparison", """select r_regionkey || '.json' as file, '.name' as path, 'DIFFERS' as kind, '"' || r_name || '"' as old, '"' || lower(r_name) || '"' as new from region where r_regionkey % 2 = 0
+union all select r_regionkey || '.json', '.rounds[0]', 'MISSING', cast(r_regionkey as varchar), null from region where r_regionkey = 1 union all select '4.tsv', '', 'EXTRA', null, sha256('4' || chr(10)) from region where r_regionkey = 4
+union all select '1.json', '.rounds', 'EXTRA', null, '[]' from region where r_regionkey = 1""")
+def b08(spark, sf):
+    path = D.scratch(spark, "b08")
+    for tree in ("old", "new"):
+        os.makedirs(f"{path}/{tree}")
+    for r in D.table(spark, sf, "region").select("r_regionkey", "r_name").collect():
+        k = int(r.r_regionkey)
+        for tree in ("old", "new"):
+            other = tree == "new"
+            row = {"name": r.r_name.lower() if other and k % 2 == 0 else r.r_name, "rounds": [] if other and k == 1 else [k], "runtime": {"elapsed": other}, "out": f"{path}/{tree}/x"}
+            with open(f"{path}/{tree}/{k}.json", "w") as f:
+                json.dump(row, f)
+        if k == 4:
+            with open(f"{path}/new/4.tsv", "w") as f:
+                f.write("4\n")
+    return releases.compared(releases.contents(spark, path + "/old"), releases.contents(spark, path + "/new"))
+
+
+@query("b07_parameters", "select * from (values ('qc', 'LOW_READS', '10000'), ('qc', 'LOW_MATCH', '0.4'), ('extract', 'ERROR_RATE', '0.1'), ('extract', 'MIN_OVERLAP', '3'), ('extract', 'MAX_LENGTH', '200'), ('detect', 'CORE_LEN', '12'), ('detect', 'CORE_SUPPORT', '0.9')) t(stage, name, value)")
+def b07(spark, sf):
+    # The values that must equal fixed ones.
+    return releases.parameters(spark).where(F.col("name").isin("LOW_READS", "LOW_MATCH", "ERROR_RATE", "MIN_OVERLAP", "MAX_LENGTH", "CORE_LEN", "CORE_SUPPORT"))

@@ -94,6 +94,17 @@ def trim_totals(reports: DataFrame) -> DataFrame:
     return reports.groupBy(rnd.alias("round")).agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"))
 
 
+def read_trim_reports(spark: SparkSession, path: str) -> DataFrame | None:
+    """output_paths, n_in and n_out of a file of trim reports; None if it is not there or malformed, as a baseline may be."""
+    schema = "output_paths array<string>, n_in long, n_out long"
+    try:
+        rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+        rows.count()
+        return rows
+    except Exception:  # whatever is wrong with a baseline, there is none
+        return None
+
+
 def hashable(path) -> object:
     """Whether a file's digest belongs into a manifest."""
     return F.lower(path).rlike(r"\.(fasta|fa|fastq|fq|tsv|json|ya?ml)(\.gz)?$")
