@@ -121,7 +121,8 @@ def f21(spark, sf):
 
 @query("f22_semicolon_list", "select page_id, cast(len(list_filter(list_transform(string_split(replace(url, '/', ';'), ';'), lambda x: trim(x)), lambda x: x <> '')) as integer) as n from pages")
 def f22(spark, sf):
-    return D.table(spark, sf, "pages").select("page_id", F.size(M.semicolon_list(F.replace("url", F.lit("/"), F.lit(";")))).alias("n"))
+    n = F.size(M.semicolon_list(F.replace("url", F.lit("/"), F.lit(";"))))
+    return D.table(spark, sf, "pages").select("page_id", F.when(F.col("url").isNotNull(), n).alias("n"))
 
 
 @query("f23_safe_dir", "select page_id, replace(url, ':', '_') as dir from pages")

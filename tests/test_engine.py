@@ -10,6 +10,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from poolforge import plans, registry  # noqa: F401 (plans registers the queries)
 from poolforge.functions import sequences as S
 from poolforge.operators import batch, counts, extraction, inference, metadata, profiles, qc, scoring, signals, trimming
 from poolforge.sources import fastq, tables, trees
@@ -195,6 +196,27 @@ def test_blacklist_context(spark):
     assert [r.b for r in got.collect()] == [True, False, True, True]
 
 
+def test_semicolon_lists_lose_spaces_alone(spark):
+    cells = {"0a0;11; 2;a;4;": ["0a0", "11", "2", "a", "4"], " ; b ;;\u00a0c\u3000;\u2003": ["b", "c"], "\t;d": ["\t", "d"], "": [], None: []}
+    x = table(spark, [(c,) for c in cells], "c string").select("c", metadata.semicolon_list(F.col("c")).alias("l"))
+    assert {r.c: r.l for r in x.collect()} == cells
+
+
+def test_fetch_plan_keeps_digits(spark):
+    x = table(spark, [("S", "a_1.gz; a_2.gz", "0f0;1e1", "1200; 311")], "srr string, fastq_ftp string, fastq_md5 string, fastq_bytes string")
+    r = metadata.fetch_plan(x).first()
+    assert (r.fastq_urls, r.fastq_md5s, r.fastq_bytes, r.paired_end) == (["a_1.gz", "a_2.gz"], ["0f0", "1e1"], [1200, 311], True)
+
+
+def test_semicolon_list_query_equals_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    urls = ["https://a.example/en/44444/", "https://a.example/en/4", "http://1/22/3", "a/ /\u00a0/b\u2003/\t", "a;b", "/", " ", "", None]
+    table(spark, list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    sql = registry.ORACLES["f22_semicolon_list"]
+    wanted = duckdb.sql(f"with pages as (from '{tmp_path}/pages.parquet/*.parquet') {sql}").fetchall()
+    assert sorted(tuple(r) for r in registry.QUERIES["f22_semicolon_list"](spark, str(tmp_path)).collect()) == sorted(wanted)
+
+
 def test_equivalence_kinds(spark):
     rows = [("ACGT", "ACGT"), ("ACGU", "ACGT"), ("AACC", "GGTT"), ("ACG", "ACGTT"), ("GTT", "ACGTT"), ("TTTT", "ACGC"), (None, "ACGC"), ("ACGT", "ACGN"), ("XXACGT", "ACGT")]
     x = table(spark, rows, "o string, t string").select(scoring.equivalence(F.col("o"), F.col("t"), ["XX"]).alias("k"))
